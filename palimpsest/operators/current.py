@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def current_rows(df: DataFrame, keys: Sequence[str], version: str, keep: Sequence[str]) -> DataFrame:
@@ -17,7 +18,9 @@ def current_rows(df: DataFrame, keys: Sequence[str], version: str, keep: Sequenc
     (no reference can name them).
     """
     kept = [c for c in keep if c not in keys]
-    order = F.struct(F.col(version), F.xxhash64(*[F.to_json(F.struct(c)) for c in kept]) if kept else F.lit(0))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    plain = [F.array_sort(F.map_entries(c)) if isinstance(kinds[c], MapType) else F.col(c) for c in kept]
+    order = F.struct(F.col(version), F.xxhash64(*plain) if kept else F.lit(0))
     best = F.max_by(F.struct(*[F.col(c) for c in kept]) if kept else F.lit(0), order).alias("_row")
     out = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(best)
     return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in kept])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.changefeed import SET_BY, apply_feed, bootstrap
 from ..operators.asof import learnings_at_events
 from ..operators.references import entry_references, orphan_references, orphan_report
 
@@ -25,6 +26,11 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(_orphans(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = apply_feed(bootstrap(table(spark, sf_dir, "memories")), table(spark, sf_dir, "queue_records"))
+    return after.read().where(f"{SET_BY} IS NOT NULL").select("namespace", "id", SET_BY).toDF("namespace", "entry_id", "queue_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learnings_at_events(table(spark, sf_dir, "replay_events"), table(spark, sf_dir, "memories"))
 
@@ -49,6 +55,38 @@ P1_FOUND = _ORPHANS + "SELECT DISTINCT ref_table, ref_field, record_id, ref_peri
 P1_REPORT = _ORPHANS + """SELECT ref_table, ref_field, ref_period, outcome, count(*) AS n_refs, count(DISTINCT (namespace, entry_id)) AS n_entries
 FROM orphans WHERE outcome IS NOT NULL GROUP BY 1, 2, 3, 4"""
 
+P2_FOUND = """
+WITH rec AS (SELECT DISTINCT queue_id, namespace, entry_id, revision.sync_seq AS seq, CASE WHEN revision.sync_seq IS NOT NULL THEN revision.sync_hash END AS hash,
+               CASE WHEN lower(op) = 'delete' OR CAST(payload->>'$.pending_delete' AS boolean) THEN 'delete' ELSE lower(op) END AS op,
+               CAST(CAST(payload->'$.vector_clock' AS json) AS map(varchar, bigint)) AS clock FROM queue_records),
+keyed AS (SELECT *, CASE WHEN seq IS NULL THEN CAST(list_sort(map_entries(clock)) AS varchar) ELSE concat(seq, '/', hash) END AS k FROM rec),
+chg AS (SELECT namespace, entry_id, seq, hash, k, min(queue_id) AS queue_id, arg_min(op, queue_id) AS op, arg_min(clock, queue_id) AS clock FROM keyed GROUP BY 1, 2, 3, 4, 5),
+cur AS (SELECT namespace, id, arg_max({'s': sync_seq, 'h': sync_hash, 'c': vector_clock, 'p': coalesce(pending_delete, false)}, updated_at) AS x FROM memories GROUP BY 1, 2),
+named AS (SELECT DISTINCT namespace, entry_id FROM chg),
+alls AS (
+  SELECT c.namespace, c.entry_id, c.seq, c.hash, c.queue_id, c.op, c.clock FROM chg c LEFT JOIN cur m ON m.namespace = c.namespace AND m.id = c.entry_id
+  WHERE m.id IS NULL OR NOT coalesce(CASE WHEN c.seq IS NOT NULL THEN c.seq = m.x.s AND c.hash = m.x.h ELSE list_sort(map_entries(c.clock)) = list_sort(map_entries(m.x.c)) END, false)
+  UNION ALL SELECT m.namespace, m.id, m.x.s, m.x.h, 0, CASE WHEN m.x.p THEN 'delete' ELSE 'insert' END, CAST(m.x.c AS map(varchar, bigint)) FROM cur m JOIN named n ON n.namespace = m.namespace AND n.entry_id = m.id),
+live AS (SELECT * FROM alls WHERE op IN ('insert', 'update', 'delete')),
+pairs AS (
+  SELECT a.namespace, a.entry_id, a.queue_id AS qa, a.op AS oa, b.queue_id AS qb, b.op AS ob, a.seq AS sa, b.seq AS sb, coalesce(a.hash, '') AS ha, coalesce(b.hash, '') AS hb,
+    list_transform(list_distinct(list_concat(map_keys(a.clock), map_keys(b.clock))), lambda n: coalesce(map_extract(a.clock, n)[1], 0) - coalesce(map_extract(b.clock, n)[1], 0)) AS gap
+  FROM live a JOIN live b ON a.namespace = b.namespace AND a.entry_id = b.entry_id AND a.queue_id <> b.queue_id),
+judged AS (
+  SELECT *, CASE WHEN sa <> sb THEN sa > sb
+    WHEN len(list_filter(gap, lambda g: g > 0)) > 0 AND len(list_filter(gap, lambda g: g < 0)) = 0 THEN true
+    WHEN len(list_filter(gap, lambda g: g < 0)) > 0 AND len(list_filter(gap, lambda g: g > 0)) = 0 THEN false
+    ELSE ha > hb END AS a_later FROM pairs),
+last AS (SELECT namespace, entry_id, queue_id FROM live l WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.a_later AND j.namespace = l.namespace AND j.entry_id = l.entry_id AND j.qb = l.queue_id)),
+dead AS (SELECT namespace, entry_id FROM live WHERE op = 'delete'),
+ins_after AS (
+  -- an insert later than every delete
+  SELECT l.namespace, l.entry_id FROM live l WHERE l.op = 'insert' AND NOT EXISTS (
+    SELECT 1 FROM judged j WHERE j.namespace = l.namespace AND j.entry_id = l.entry_id AND j.qa = l.queue_id AND j.ob = 'delete' AND NOT j.a_later))
+SELECT namespace, entry_id, queue_id FROM last l
+WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.namespace = l.namespace AND d.entry_id = l.entry_id)
+   OR EXISTS (SELECT 1 FROM ins_after i WHERE i.namespace = l.namespace AND i.entry_id = l.entry_id)"""
+
 P3_FOUND = """
 WITH cur AS (SELECT namespace, id, arg_max({'c': created_at, 'v': coalesce(valid_from, created_at), 'i': invalid_from, 'b': invalidated_by, 'r': remote_id}, updated_at) AS x
              FROM memories GROUP BY 1, 2),
@@ -65,8 +103,8 @@ WHERE rn = 1"""
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p3_found": P3_FOUND}
+    return {"p1_found": P1_FOUND, "p1_report": P1_REPORT, "p2_found": P2_FOUND, "p3_found": P3_FOUND}
