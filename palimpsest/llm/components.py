@@ -5,6 +5,9 @@ Edges are relabelled by the hooks, loops and repeats go, and the round repeats o
 constant share less in expectation whatever the shape of the graph (a chain of a billion links needs
 some dozens of rounds).  The hooks of each round are written to the shared folder; afterwards they are
 composed backwards, from the smallest round to the first, so all rounds together cost a geometric sum.
+
+Every join reads two written tables, one of them with unique keys, so adaptive execution may split the
+partition of a hub or of a giant group on the other side.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.current import current_rows
-from ..operators.skew import skew_join
 from ..sources.scratch import written
 
 ENTRY_ID = "^[ML]-[0-9a-f]{8}$"
@@ -50,15 +52,14 @@ def connected_components(pairs: DataFrame, seed: int = 20_240_101) -> DataFrame:
             raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
         hook = written(hooks(edges, seed + len(levels)), "hooks")
         levels.append(hook)
-        left = skew_join(edges, hook.toDF("u", "ru"), ["u"], ["v"]).select("ru", "v")
-        right = skew_join(left, hook.toDF("v", "rv"), ["v"], ["ru"]).select("ru", "rv")
-        edges = written(undirected(right, "ru", "rv"), "edges")
+        relabelled = edges.join(hook.toDF("u", "ru"), "u").join(hook.toDF("v", "rv"), "v")
+        edges = written(undirected(relabelled, "ru", "rv"), "edges")
     if not levels:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
     found = levels[-1].toDF("node", "root")
     for hook in reversed(levels[:-1]):
         above = found.toDF("rep", "root")
-        found = written(skew_join(hook, above, ["rep"], ["node"], "left").select("node", F.coalesce("root", "rep").alias("root")), "roots")
+        found = written(hook.join(above, "rep", "left").select("node", F.coalesce("root", "rep").alias("root")), "roots")
     return found
 
 
@@ -66,7 +67,7 @@ def groups(pairs: DataFrame) -> DataFrame:
     """(node, group_id): every linked node with the smallest node of its group."""
     found = connected_components(pairs)
     least = written(found.groupBy("root").agg(F.min("node").alias("group_id")), "least")
-    return skew_join(found, least, ["root"], ["node"]).select("node", "group_id")
+    return found.join(least, "root").select("node", "group_id")
 
 
 def entry_links(memories: DataFrame) -> DataFrame:
