@@ -10,6 +10,10 @@ For each of them a few candidates suffice, whatever the number of changes: a cha
 all others has the greatest sync_seq (then either the greatest clock total, as a dominating clock has, or
 the greatest hash among concurrent ones), or no revision and the greatest clock total.  The candidates
 and the base row then meet in a small tournament.
+
+A removed entry stays as a row with pending_delete, and every row that a feed has named keeps its last
+delete and insert, so a feed may come in parts and in any order: the parts together give what the whole
+gives (for changes that the rules order without a contradiction).  ``live_rows`` is the table's state.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from .current import current_rows
 
 CLOCK = "map<string,bigint>"
 PAYLOAD = f"content string, importance double, status string, updated_at string, vector_clock {CLOCK}, pending_delete boolean"
-PATCHED = ["content", "importance", "status", "updated_at", "vector_clock", "pending_delete"]
+VALUES = ["content", "importance", "status", "updated_at"]  # from the payload of the change that set the row
+POSITION = ["sync_seq", "sync_hash", "vector_clock"]  # of the entry's last change
 _CHANGE = f"struct<seq:bigint,hash:string,clock:{CLOCK},queue_id:bigint>"
-SET_BY = "_set_by"
+SET_BY, LAST_DELETE, LAST_INSERT = "_set_by", "_last_delete", "_last_insert"
 
 
 def clock_order(a: Column, b: Column) -> Column:
@@ -46,9 +51,9 @@ def is_later(a: Column, b: Column) -> Column:
     return F.when(a["seq"].isNotNull() & b["seq"].isNotNull() & (a["seq"] != b["seq"]), a["seq"] > b["seq"]).otherwise(by_clock)
 
 
-def latest(changes: list[Column]) -> Column:
-    """The latest of some changes (nulls are none); of two that tie, the one named first."""
-    return F.aggregate(F.array(*changes), F.lit(None).cast(_CHANGE), lambda acc, x: F.when(x.isNull(), acc).when(acc.isNull() | is_later(x, acc), x).otherwise(acc))
+def latest(changes: Column) -> Column:
+    """The latest of an array of changes (nulls are none); of two that tie, the one named first."""
+    return F.aggregate(changes, F.lit(None).cast(_CHANGE), lambda acc, x: F.when(x.isNull(), acc).when(acc.isNull() | is_later(x, acc), x).otherwise(acc))
 
 
 def queue_changes(queue: DataFrame) -> DataFrame:
@@ -92,86 +97,97 @@ def entry_candidates(changes: DataFrame) -> DataFrame:
 
 
 def verdicts(changes: DataFrame, base: DataFrame) -> DataFrame:
-    """namespace, id, present, set_by: the state of every entry that the feed names.
+    """namespace, id, present, win, d, i, l: the state of every entry that the feed names.
 
-    ``base`` has namespace, id, sync_seq, sync_hash, vector_clock, pending_delete (one row per key) and
-    counts as a change of queue_id 0: a delete if pending_delete is true, else an insert.  A feed change
-    with its revision, or without one and with its clock, is that same change.
+    ``win`` is the queue_id of the feed change that is the entry's last, or 0 if the base row still is;
+    d, i and l are its last delete, insert and change.  ``base`` has one row per key; it counts as a
+    change: a delete if pending_delete is true, else an insert, beside the delete and insert it remembers.
+    A feed change with its revision, or without one and with its clock, is that same change.
     """
-    own = F.struct(F.col("sync_seq").alias("seq"), F.when(F.col("sync_seq").isNotNull(), F.col("sync_hash")).alias("hash"), F.coalesce("vector_clock", F.create_map().cast(CLOCK)).alias("clock"), F.lit(0).cast("bigint").alias("queue_id"))
-    b = base.select("namespace", "id", own.cast(_CHANGE).alias("base"), F.coalesce("pending_delete", F.lit(False)).alias("gone"))
+    own = F.struct(F.col("sync_seq").alias("seq"), F.when(F.col("sync_seq").isNotNull(), F.col("sync_hash")).alias("hash"), F.coalesce("vector_clock", F.create_map().cast(CLOCK)).alias("clock"), F.lit(0).cast("bigint").alias("queue_id")).cast(_CHANGE)
+    gone, named = F.coalesce("pending_delete", F.lit(False)), F.col(SET_BY).isNotNull()
+    b = base.select(
+        "namespace", "id", own.alias("base"), F.when(named, F.col(LAST_DELETE)).when(gone, own).alias("base_d"), F.when(named, F.col(LAST_INSERT)).when(~gone, own).alias("base_i"),
+    )
     j = entry_candidates(changes).hint("merge").join(b, ["namespace", "id"], "left")
     known = F.col("base").isNotNull()
 
-    def others(op: str) -> list[Column]:
-        out = []
-        for k in range(3):
-            x = F.col(op)[k]
-            same_clock = F.array_sort(F.map_entries(x["clock"])) == F.array_sort(F.map_entries(F.col("base.clock")))
-            same = F.when(x["seq"].isNotNull(), (x["seq"] == F.col("base.seq")) & x["hash"].eqNullSafe(F.col("base.hash"))).otherwise(same_clock)
-            out.append(F.when(~(known & F.coalesce(same, F.lit(False))), x))
-        return out
-
-    deletes = [F.when(F.col("gone"), F.col("base")), *others("delete")]
-    inserts = [F.when(known & ~F.col("gone"), F.col("base")), *others("insert")]
-    j = j.select("namespace", "id", latest(deletes).alias("d"), latest(inserts).alias("i"), latest([F.col("base"), *others("delete"), *others("insert"), *others("update")]).alias("l"))
+    same_clock = lambda x: F.array_sort(F.map_entries(x["clock"])) == F.array_sort(F.map_entries(F.col("base.clock")))
+    same = lambda x: F.when(x["seq"].isNotNull(), (x["seq"] == F.col("base.seq")) & x["hash"].eqNullSafe(F.col("base.hash"))).otherwise(same_clock(x))
+    other = lambda op: F.filter(op, lambda x: x.isNotNull() & ~(known & F.coalesce(same(x), F.lit(False))))
+    j = j.select("namespace", "id", "base", "base_d", "base_i", *[other(op).alias(op) for op in ("delete", "insert", "update")])
+    j = j.select(
+        "namespace", "id", latest(F.concat(F.array("base_d"), "delete")).alias("d"), latest(F.concat(F.array("base_i"), "insert")).alias("i"),
+        latest(F.concat(F.array("base"), "delete", "insert", "update")).alias("l"),
+    )
     present = F.col("l").isNotNull() & (F.col("d").isNull() | (F.col("i").isNotNull() & is_later(F.col("i"), F.col("d"))))
-    return j.select("namespace", "id", F.coalesce(present, F.lit(False)).alias("present"), F.col("l.queue_id").alias("set_by"))
+    return j.select("namespace", "id", F.coalesce(present, F.lit(False)).alias("present"), F.coalesce("l.queue_id", F.lit(0)).alias("win"), "d", "i", "l")
 
 
 def merge_bucket(base: pa.Table, changes: pa.Table) -> pa.Table:
-    """Linear merge of one bucket: rows of absent entries go, set rows take the change's values, new ones come in."""
-    bk = np.array(pc.binary_join_element_wise(base["namespace"], base["id"], "\x00").to_pylist(), dtype=object)
-    ck = np.array(pc.binary_join_element_wise(changes["namespace"], changes["id"], "\x00").to_pylist(), dtype=object)
+    """Linear merge of one bucket, both sides sorted by key; see ``apply_feed`` for what a change does to its row."""
+    key = lambda t: np.array(pc.binary_join_element_wise(t["namespace"], t["id"], "\x00").to_pylist(), dtype=object)
+    bk, ck = key(base), key(changes)
     pos = np.searchsorted(bk, ck) if len(bk) else np.zeros(len(ck), dtype=np.int64)
     hit = np.array([p < len(bk) and bk[p] == k for p, k in zip(pos, ck)], dtype=bool)
-    present = changes["present"].to_numpy()
-    change_of = np.full(len(bk), -1, dtype=np.int64)
+    fresh = np.nonzero(~hit)[0]
+    n = len(bk)
+    change_of = np.full(n, -1, dtype=np.int64)
     change_of[pos[hit]] = np.nonzero(hit)[0]
     touched = change_of >= 0
-    keep = ~touched
-    keep[touched] = present[change_of[touched]]
-    fresh = np.nonzero(~hit & present)[0]
-    set_by = changes["set_by"].to_numpy(zero_copy_only=False)
-    patched = touched & keep
-    patched[patched] = set_by[change_of[patched]] > 0
-    at = pa.array(change_of, mask=~touched)
-    mask, columns = pa.array(patched), []
+    win = changes["win"].to_numpy()
+    moved = touched.copy()  # the last change is a new one
+    moved[touched] = win[change_of[touched]] > 0
+    at = pa.array(np.where(touched, change_of, 0), mask=~touched)
+    columns = []
     for f in base.schema:
         old = base[f.name].combine_chunks()
-        if f.name == SET_BY:
-            old = pc.if_else(pa.array(touched), changes["set_by"].combine_chunks().take(at), old)
-        elif f.name in PATCHED:
-            new = changes[f.name].combine_chunks().take(at).cast(f.type)
-            where = np.where(patched, np.arange(len(bk)) + len(bk), np.arange(len(bk)))
-            old = pa.concat_arrays([old, new]).take(pa.array(where)) if pa.types.is_nested(f.type) else pc.if_else(mask, new, old)
-        source = {"namespace": "namespace", "id": "id", SET_BY: "set_by"}.get(f.name, f.name if f.name in PATCHED else None)
-        added = changes[source].combine_chunks().take(pa.array(fresh)).cast(f.type) if source else pa.nulls(len(fresh), f.type)
-        columns.append(pa.concat_arrays([old.filter(pa.array(keep)), added]))
-    order = np.argsort(np.concatenate([np.nonzero(keep)[0].astype(float), pos[fresh] - 0.5]), kind="stable")
+        if f.name in changes.column_names and f.name not in ("namespace", "id"):
+            new = changes[f.name].combine_chunks().cast(f.type)
+            where = dict.fromkeys([*VALUES, *POSITION, SET_BY], moved).get(f.name, touched)
+            index = np.where(where, np.arange(n) + n, np.arange(n))
+            merged = pa.concat_arrays([old, new.take(at)]).take(pa.array(index))
+            if f.name == SET_BY:  # a row that still stands by itself is named from now on
+                merged = pc.if_else(pa.array(touched), pc.coalesce(merged, pa.scalar(0, f.type)), merged)
+            added = new.take(pa.array(fresh))
+        else:
+            merged = old
+            added = changes[f.name].combine_chunks().take(pa.array(fresh)).cast(f.type) if f.name in ("namespace", "id") else pa.nulls(len(fresh), f.type)
+        columns.append(pa.concat_arrays([merged, added]))
+    order = np.argsort(np.concatenate([np.arange(n).astype(float), pos[fresh] - 0.5]), kind="stable")
     return pa.table(columns, schema=base.schema).take(pa.array(order))
 
 
 def bootstrap(memories: DataFrame, root: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> BucketedTable:
-    """The current rows of ``memories`` as version 0 of a bucketed table, with ``_set_by`` null."""
-    cols = [c for c in memories.columns if c not in ("namespace", "id", SET_BY)]
-    rows = current_rows(memories, ["namespace", "id"], "updated_at", cols).withColumn(SET_BY, F.lit(None).cast("bigint"))
+    """The current rows of ``memories`` as version 0 of a bucketed table; no feed has named any yet."""
+    cols = [c for c in memories.columns if c not in ("namespace", "id", SET_BY, LAST_DELETE, LAST_INSERT)]
+    none = F.lit(None)
+    rows = current_rows(memories, ["namespace", "id"], "updated_at", cols).withColumns({SET_BY: none.cast("bigint"), LAST_DELETE: none.cast(_CHANGE), LAST_INSERT: none.cast(_CHANGE)})
     return BucketedTable.create(rows, root or new_path(memories.sparkSession, "entries"), ["namespace", "id"], memories.count(), rows_per_bucket)
 
 
 def apply_feed(table: BucketedTable, queue: DataFrame) -> BucketedTable:
     """The table's next version after all changes of ``queue``.
 
-    Rows that the feed named carry ``_set_by``: the smallest queue_id of the change that set them, 0 if that
-    is the row itself.  Order of arrival, repeated records and repeated application change nothing.  An
-    empty feed commits a version with the same files.  Null namespaces or ids name no entry.
+    A row that the feed names gets ``_set_by``: the smallest queue_id of the change that set it, 0 if no
+    feed did.  A set row takes the payload's values and keeps its other columns (null in a new row); a
+    removed one gets pending_delete.  Order of arrival, repeated records and repeated application change
+    nothing.  An empty feed commits a version with the same files.  Null namespaces or ids name no entry.
     """
-    done = written(verdicts(queue_changes(queue), table.read().select("namespace", "id", "sync_seq", "sync_hash", "vector_clock", "pending_delete")), "verdicts")
+    base = table.read().select("namespace", "id", *POSITION, "pending_delete", SET_BY, LAST_DELETE, LAST_INSERT)
+    done = written(verdicts(queue_changes(queue), base), "verdicts")
     p = F.from_json("payload", PAYLOAD)
-    values = done.where("present AND set_by > 0").select(F.col("set_by").alias("queue_id"), "namespace", "id").join(queue.select("queue_id", "payload").where("queue_id > 0"), "queue_id")
-    patch = values.groupBy("namespace", "id").agg(F.max("payload").alias("payload")).select(
-        "namespace", "id", p["content"].alias("content"), p["importance"].alias("importance"), p["status"].alias("status"),
-        iso_instant(p["updated_at"]).alias("updated_at"), F.coalesce(p["vector_clock"], F.create_map().cast(CLOCK)).alias("vector_clock"), p["pending_delete"].alias("pending_delete"),
+    winners = done.where("win > 0").select(F.col("win").alias("queue_id"), "namespace", "id").join(queue.select("queue_id", "payload").where("queue_id > 0"), "queue_id")
+    values = winners.groupBy("namespace", "id").agg(F.max("payload").alias("payload")).select(
+        "namespace", "id", p["content"].alias("content"), p["importance"].alias("importance"), p["status"].alias("status"), iso_instant(p["updated_at"]).alias("updated_at"),
+    )
+    routed = done.join(values, ["namespace", "id"], "left").select(
+        "namespace", "id", "win", *VALUES, F.col("l.seq").alias("sync_seq"), F.col("l.hash").alias("sync_hash"), F.col("l.clock").alias("vector_clock"),
+        (~F.col("present")).alias("pending_delete"), F.col("win").alias(SET_BY), F.col("d").alias(LAST_DELETE), F.col("i").alias(LAST_INSERT),
     )
-    routed = done.join(patch, ["namespace", "id"], "left").select("namespace", "id", "present", F.coalesce("set_by", F.lit(0)).alias("set_by"), *PATCHED)
     return table.merge(routed, merge_bucket)
+
+
+def live_rows(table: BucketedTable) -> DataFrame:
+    """The rows in force: those not marked as deleted."""
+    return table.read().where(~F.coalesce("pending_delete", F.lit(False)))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.changefeed import SET_BY, apply_feed, bootstrap
 from ..operators.asof import learnings_at_events
+from ..operators.changefeed import SET_BY, apply_feed, bootstrap, live_rows
 from ..operators.references import entry_references, orphan_references, orphan_report
 
 
@@ -28,7 +28,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = apply_feed(bootstrap(table(spark, sf_dir, "memories")), table(spark, sf_dir, "queue_records"))
-    return after.read().where(f"{SET_BY} IS NOT NULL").select("namespace", "id", SET_BY).toDF("namespace", "entry_id", "queue_id")
+    return live_rows(after).where(f"{SET_BY} IS NOT NULL").select("namespace", "id", SET_BY).toDF("namespace", "entry_id", "queue_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["problems"]
+_MODULES = ["problems", "listing", "ranking", "lifecycle", "safety"]
 
 
 def _modules():
@@ -12,7 +12,7 @@ def _modules():
 
 
 def flagship(spark, sf_dir):
-    return queries()["p1_found"](spark, sf_dir)
+    return queries()["r10_hybrid"](spark, sf_dir)
 
 
 def queries() -> dict:
