@@ -52,12 +52,15 @@ def changed_since(df: DataFrame, token: Column) -> DataFrame:
     return df.where(F.col("updated_at") >= token)
 
 
-def dirty_rows(df: DataFrame, since: int, after_id: str | None = None) -> DataFrame:
-    """Rows above the sync cursor that were never synced, by (sync_seq, id)."""
+def dirty_rows(df: DataFrame, since: int, after_id: str | None = None, changed: bool = False) -> DataFrame:
+    """Rows above the sync cursor that were never synced (``changed``: or not since their last update), by (sync_seq, id)."""
     cursor = F.col("sync_seq") > since
     if after_id is not None:
         cursor = cursor | ((F.col("sync_seq") == since) & (F.col("id") > after_id))
-    return df.where(cursor & F.col("last_synced_at").isNull()).orderBy("sync_seq", "id")
+    dirty = F.col("last_synced_at").isNull()
+    if changed:
+        dirty = dirty | (F.col("last_synced_at") < F.col("updated_at"))
+    return df.where(cursor & dirty).orderBy("sync_seq", "id")
 
 
 def contains_text(needle: str, tags: str = "tags") -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import fractional_days, recency
+from ..sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -23,6 +24,16 @@ def ranked(scored: DataFrame, keys: Sequence[str], top_k: int | None = None, tie
     return out.where(F.col("rk") <= top_k) if top_k else out
 
 
+def postings(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, dl, ds, head, term, tf): one row per document and distinct term; ``head`` marks one row a document.
+
+    A document without tokens has one row with a null term.
+    """
+    d = docs.select(*keys, "tokens", F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("own"))
+    p = d.select(*keys, "tokens", "dl", F.size("own").alias("ds"), F.posexplode_outer("own").alias("at", "term"))
+    return p.select(*keys, "dl", "ds", (F.coalesce("at", F.lit(0)) == 0).alias("head"), "term", (F.col("dl") - F.size(F.array_remove("tokens", F.col("term")))).alias("tf"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, keys: Sequence[str], top_k: int | None = 50) -> DataFrame:
     """Okapi BM25 of ``queries`` (query_id, terms) over ``docs`` (keys, tokens); scores above 0 only.
 
@@ -30,17 +41,16 @@ def bm25(queries: DataFrame, docs: DataFrame, keys: Sequence[str], top_k: int |
     vocabulary.  If no row of a query scores above 0, rows are ranked by the Jaccard coefficient of the
     two term sets instead.  Empty queries and empty documents match nothing.
     """
-    docs = docs.select(*keys, "tokens", F.size("tokens").alias("dl"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    posts = written(postings(docs, keys), "postings")
+    size = posts.where("head").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = posts.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(F.broadcast(size)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     terms = queries.select("query_id", F.size(F.array_distinct("terms")).alias("ql"), F.explode("terms").alias("term")).groupBy("query_id", "ql", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = terms.join(idf, "term")
-    posts = docs.select(*keys, "dl", F.size(F.array_distinct("tokens")).alias("ds"), F.explode(F.array_distinct("tokens")).alias("term"), "tokens").select(*keys, "dl", "ds", "term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = posts.join(weighed, "term").groupBy("query_id", *keys, "dl", "ds", "ql").agg(F.sum(part).alias("bm"), F.count(F.lit(1)).alias("common"))
+    met = posts.join(weighed, "term").groupBy("query_id", *keys).agg(F.first("dl").alias("dl"), F.first("ds").alias("ds"), F.first("ql").alias("ql"), F.sum(part).alias("bm"), F.count(F.lit(1)).alias("common"))
     any_up = F.max("bm").over(Window.partitionBy("query_id")) > 0
     jaccard = F.col("common") / (F.col("ql") + F.col("ds") - F.col("common"))
     # nine digits: sums of equal parts in another order still tie

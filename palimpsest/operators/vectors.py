@@ -81,6 +81,8 @@ def _nearest_slice(queries: DataFrame, rows: DataFrame, k: int, metric: str) ->
 def similarity_join(df: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(a, b, score), a < b: all pairs of rows (row_id, vector) with cosine above ``threshold``, exact.
 
+    At most ``pivots`` cells, of about ``block_rows`` rows or more each.
+
     Rows go to the nearest of a bounded sample of pivots and there into blocks of bounded size.  Angles
     obey the triangle inequality, so two pivots further apart than both radii and the threshold's angle
     cannot share a pair: their blocks never meet.  Every pair of blocks that may share one is a matrix
@@ -91,6 +93,7 @@ def similarity_join(df: DataFrame, threshold: float, block_rows: int = BLOCK_ROW
     none = "a bigint, b bigint, score double"
     if total == 0:
         return df.sparkSession.createDataFrame([], none)
+    pivots = min(pivots, max(1, total // block_rows))
     chosen = unit_rows([r["vector"] for r in live.orderBy(F.xxhash64("row_id")).limit(pivots).collect()])
     theta = math.acos(max(-1.0, min(1.0, threshold)))
 

@@ -76,9 +76,12 @@ def s10_change_feed(spark, d):
     return listing.changed_since(entries(spark, d, "updated_at"), F.expr(AT)).select(*KEY, F.unix_micros("updated_at").alias("updated_us"))
 
 
-@book.add("{E} SELECT namespace, id, sync_seq FROM entries WHERE sync_seq > 1000000 AND last_synced_at IS NULL")
+@book.add("{E} SELECT namespace, id, sync_seq FROM entries e WHERE sync_seq > 1000000 AND (last_synced_at IS NULL OR last_synced_at < updated_at OR EXISTS (SELECT 1 FROM queue_records q WHERE q.namespace = e.namespace AND q.entry_id = e.id))")
 def s11_dirty_rows(spark, d):
-    return listing.dirty_rows(entries(spark, d, "sync_seq", "last_synced_at"), 1_000_000).select(*KEY, "sync_seq")
+    """Rows that wait for their queue record count as never synced."""
+    waiting = table(spark, d, "queue_records").select("namespace", F.col("entry_id").alias("id")).distinct().withColumn("waits", F.lit(True))
+    e = entries(spark, d, "sync_seq", "last_synced_at", "updated_at").join(waiting, KEY, "left").withColumn("last_synced_at", F.when(F.col("waits").isNull(), F.col("last_synced_at")))
+    return listing.dirty_rows(e, 1_000_000, changed=True).select(*KEY, "sync_seq")
 
 
 @book.add("SELECT count(*) AS n_rows, count(*) FILTER (WHERE json_valid(edge_metadata)) AS n_good, count(*) FILTER (WHERE edge_metadata IS NOT NULL AND NOT json_valid(edge_metadata)) AS n_bad FROM memory_graph_edges")
@@ -137,9 +140,9 @@ def s20_delete_cascade(spark, d):
 
 
 # -- predicates -------------------------------------------------------------------------------------------
-@book.add("{E} SELECT namespace, id FROM entries WHERE list_has_all(tags, ['learning', 'backfills'])")
+@book.add("{E} SELECT namespace, id FROM entries WHERE list_has_all(tags, ['learning', 'canary-index'])")
 def f1_tag_superset(spark, d):
-    return entries(spark, d, "tags").where(listing.has_tags(["learning", "backfills"])).select(*KEY)
+    return entries(spark, d, "tags").where(listing.has_tags(["learning", "canary-index"])).select(*KEY)
 
 
 @book.add("""{E} SELECT namespace, id FROM entries WHERE contains(lower(id), 'ledger') OR contains(lower(content), 'ledger') OR contains(lower(coalesce(detail, '')), 'ledger')
@@ -295,12 +298,12 @@ def f19_shared_selection(spark, d):
 
 
 # -- joins and set operations -----------------------------------------------------------------------------
-@book.add("""{E}, t AS (SELECT namespace, id, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) AS c, lower(trim(regexp_replace(coalesce(detail, ''), '\\s+', ' ', 'g'))) AS x FROM entries WHERE status = 'active')
-SELECT namespace, id, n FROM (SELECT namespace, id, count(*) OVER (PARTITION BY namespace, c, x) AS n FROM t) WHERE n > 1""".replace("\\\\", "\\"))
+@book.add("""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS c FROM documents WHERE text IS NOT NULL) SELECT doc_id, n FROM (SELECT doc_id, count(*) OVER (PARTITION BY c) AS n FROM t) WHERE n > 1""")
 def j7_exact_duplicates(spark, d):
-    e = entries(spark, d, "status", "content", "detail").where("status = 'active'").withColumn("c", collapsed(F.col("content"))).withColumn("x", collapsed(F.col("detail")))
-    n = e.groupBy("namespace", "c", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return e.join(n, ["namespace", "c", "x"]).select(*KEY, "n")
+    """Equal texts meet by their digest: texts themselves are not shuffled."""
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(collapsed(F.col("text")), 256).alias("c"))
+    n = t.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return t.join(n, "c").select("doc_id", "n")
 
 
 @book.add("""{E} SELECT DISTINCT m.id FROM memory_graph_edges m WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.id = m.source_id) OR NOT EXISTS (SELECT 1 FROM entries e WHERE e.namespace = m.namespace AND e.id = m.target_id)""")

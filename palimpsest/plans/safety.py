@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from ..operators import conversation, metrics, security, sync
+from ..functions import text as tx
+from ..operators import conversation, metrics, ranking, security, sync
 from ..sources.scratch import written
 from ..streaming import feeds
 from .book import ENTRIES, Book, entries, table
-from .ranking import BM25, NOW, _bm25
+from .ranking import BM25, NOW, _docs
 
 book = Book()
 KEY = ["namespace", "id"]
@@ -200,21 +201,19 @@ def a9_reliability(spark, d):
     return total.select("n", *[F.round(c, 6).alias(c) for c in ("ece", "brier", "rmse")])
 
 
-_GOLD = "gold AS (SELECT DISTINCT i.item_id AS query_id, e.namespace, e.id, i.suite FROM (SELECT item_id, suite, unnest(regexp_extract_all(text, '[ML]-[0-9a-f]{8}')) AS id FROM eval_items) i JOIN entries e ON e.id = i.id)"
+# known-item search: the subject of every hundredth event is a query, its learning the one relevant entry
+_ASKED = "(SELECT DISTINCT event_id AS item_id, subject AS text, namespace, learning_id FROM replay_events WHERE event_id % 100 = 0 AND subject IS NOT NULL AND learning_id IS NOT NULL)"
 
 
-def _gold(spark, d):
-    ids = F.explode(F.regexp_extract_all("text", F.lit("([ML]-[0-9a-f]{8})"), 1)).alias("id")
-    g = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "suite", ids)
-    return g.join(entries(spark, d), "id").select("query_id", *KEY, "suite").distinct()
-
-
-@book.add(BM25 + ", " + _GOLD + """, t AS (SELECT b.query_id, b.rk, CASE WHEN g.id IS NULL THEN 0 ELSE 1 END AS gain FROM bm b LEFT JOIN gold g ON g.query_id = b.query_id AND g.namespace = b.namespace AND g.id = b.id WHERE b.rk <= 50),
+@book.add(BM25.replace("FROM eval_items", "FROM " + _ASKED) + ", gold AS (SELECT item_id AS query_id, namespace, learning_id AS id FROM " + _ASKED + """),
+t AS (SELECT b.query_id, b.rk, CASE WHEN g.id IS NULL THEN 0 ELSE 1 END AS gain FROM bm b LEFT JOIN gold g ON g.query_id = b.query_id AND g.namespace = b.namespace AND g.id = b.id WHERE b.rk <= 50),
 p AS (SELECT query_id, count(*) AS returned, sum(gain) AS found, sum(gain / log2(rk + 1)) AS dcg, max(CASE WHEN gain = 1 THEN 1.0 / rk END) AS rr FROM t GROUP BY 1), n AS (SELECT query_id, count(DISTINCT (namespace, id)) AS n_gold FROM gold GROUP BY 1)
 SELECT n.query_id, round(coalesce(found / returned, 0), 6) AS precision, round(coalesce(found, 0) / n_gold, 6) AS recall, round(coalesce(rr, 0), 6) AS rr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_gold, 50) + 1), lambda i: 1.0 / log2(i + 1))), 6) AS ndcg,
 CAST(coalesce(found, 0) > 0 AS int) AS hit, CAST(coalesce(found, 0) = n_gold AS int) AS complete FROM n LEFT JOIN p USING (query_id)""")
 def a10_ranking_metrics(spark, d):
-    out = metrics.ranking_metrics(_bm25(spark, d), _gold(spark, d), KEY, 50)
+    asked = table(spark, d, "replay_events").where("event_id % 100 = 0 AND subject IS NOT NULL AND learning_id IS NOT NULL").select(F.col("event_id").alias("query_id"), "subject", "namespace", F.col("learning_id").alias("id")).distinct()
+    found = ranking.bm25(asked.select("query_id", tx.query_tokens(F.col("subject")).alias("terms")), _docs(spark, d), KEY, 50)
+    out = metrics.ranking_metrics(found, asked, KEY, 50)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "rr", "ndcg")], "hit", "complete")
 
 
