@@ -21,10 +21,10 @@ def m1_utility(spark, d):
     return with_utility(entries(spark, d, *_UCOLS)).select(*KEY, F.round("utility", 6).alias("utility"))
 
 
-@book.add("{E} SELECT namespace, id, round(least(greatest(importance * greatest(0.5, pow(0.95, access_count)), 0), 1), 6) AS decayed FROM entries WHERE importance IS NOT NULL")
+@book.add("{E} SELECT namespace, id, round(least(greatest(importance * greatest(0.5, pow(0.95, access_count)), 0), 1) + 1e-12, 6) AS decayed FROM entries WHERE importance IS NOT NULL")
 def m2_recall_decay(spark, d):
     e = entries(spark, d, "importance", "access_count").where("importance IS NOT NULL")
-    return e.select(*KEY, F.round(scoring.recall_decay(F.col("importance"), F.col("access_count")), 6).alias("decayed"))
+    return e.select(*KEY, F.round(scoring.recall_decay(F.col("importance"), F.col("access_count")) + F.lit(1e-12), 6).alias("decayed"))
 
 
 _DAYS = f"greatest(floor(epoch_us({SQL_NOW}) / 86400000000) - floor(epoch_us(created_at) / 86400000000), 0)"

@@ -36,10 +36,11 @@ def sessions(stream: DataFrame, at: str, delay: str, gap: str, by: str) -> DataF
     return stream.withWatermark(at, delay).groupBy(F.session_window(at, gap), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
 
 
-def write_limiter(stream: DataFrame, session: str, at_us: str, order: str, limit: int = 10, window_s: int = 60) -> DataFrame:
+def write_limiter(stream: DataFrame, session: str, at_us: str, order: str, limit: int = 10, window_s: int = 60, forget_ms: int | None = None) -> DataFrame:
     """(session, order, admitted): at most ``limit`` admitted rows of a session within ``window_s`` seconds.
 
-    State is the instants admitted last, ``limit`` at most, forgotten an hour after the last row.
+    State is the instants admitted last, ``limit`` at most.  With ``forget_ms`` an idle session is forgotten;
+    leave it out under an available-now trigger, which would wait for timeouts for ever.
     """
 
     def walk(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,11 +57,12 @@ def write_limiter(stream: DataFrame, session: str, at_us: str, order: str, limit
                 recent.append(int(t))
             flags.append(ok)
         state.update((recent,))
-        state.setTimeoutDuration(3_600_000)
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame({session: pdf[session], order: pdf[order], "admitted": flags})
 
     kinds = dict(stream.dtypes)
-    return stream.groupBy(session).applyInPandasWithState(walk, f"`{session}` {kinds[session]}, `{order}` {kinds[order]}, admitted boolean", "recent array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(session).applyInPandasWithState(walk, f"`{session}` {kinds[session]}, `{order}` {kinds[order]}, admitted boolean", "recent array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
 
 
 def event_cache(stream: DataFrame, channel: str, key: str, position: str, most: int = 256) -> DataFrame:
