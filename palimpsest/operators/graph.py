@@ -16,7 +16,7 @@ def tag_pairs(tags: DataFrame, least_shared: int = 2, hub: int = HUB) -> DataFra
     """(namespace, a, b, shared, weight), a < b: entries that share at least two tags that are no hubs.
 
     A hub is a tag with more than ``hub`` postings in its namespace; the bound makes the pairs of a tag at
-    most hub^2 / 2.  weight = shared / union of all tags, 4 digits.
+    most hub^2 / 2.  weight = shared / (all tags of both, hubs too, less the shared), 4 digits.
     """
     t = tags.distinct()
     n = t.groupBy("namespace", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= hub)
