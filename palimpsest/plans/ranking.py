@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.scoring import fractional_days, half_life, recency, utility
 from ..operators import policy, ranking, vectors
+from ..sources.scratch import written
 from .book import ENTRIES, Book, entries, table
 
 book = Book()
@@ -124,7 +125,7 @@ _IMPORTANT = ", im AS (SELECT b.query_id, b.namespace, b.id, coalesce(e.importan
 
 
 def _two_lists(spark, d):
-    b = _bm25(spark, d)
+    b = written(_bm25(spark, d), "keyword")  # read by both lists: scored once
     imp = b.join(entries(spark, d, "importance"), KEY).select("query_id", *KEY, F.coalesce("importance", F.lit(0.5)).alias("score"))
     return b.withColumn("list_no", F.lit(0)).unionByName(ranking.ranked(imp, KEY).withColumn("list_no", F.lit(1)))
 
