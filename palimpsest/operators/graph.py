@@ -10,6 +10,7 @@ from ..sources.scratch import written
 # Share of a change in importance that an edge type passes on; other types pass nothing.
 RATES = {"consolidation": 0.3, "supersedes": 0.2, "similarity": 0.15, "tag_cooccurrence": 0.1, "related_to": 0.1}
 HUB = 500
+SIDE = 500  # rows of a block of a popular file
 
 
 def tag_pairs(tags: DataFrame, least_shared: int = 2, hub: int = HUB) -> DataFrame:
@@ -35,12 +36,19 @@ def tag_neighbours(pairs: DataFrame, top: int = 25) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
 
 
-def shared_files(postings: DataFrame, least: int = 3, hub: int = HUB) -> DataFrame:
-    """(namespace, a, b, shared): entries anchored to at least ``least`` common files, hub files aside."""
+def shared_files(postings: DataFrame, least: int = 3, side: int = SIDE) -> DataFrame:
+    """(namespace, a, b, shared): entries anchored to at least ``least`` common files, a < b.
+
+    A file with more than ``side`` entries in a namespace is cut into blocks of about ``side`` rows, and every
+    pair of blocks meets under a key of its own; ``side`` decides placement only, never results.
+    """
     t = postings.distinct()
-    n = t.groupBy("namespace", "file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= hub)
-    thin = t.join(n.select("namespace", "file"), ["namespace", "file"], "left_semi")
-    return thin.withColumnRenamed("entry_id", "a").join(thin.withColumnRenamed("entry_id", "b"), ["namespace", "file"]).where("a < b").groupBy("namespace", "a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    popular = t.groupBy("namespace", "file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > side)
+    t = t.join(popular, ["namespace", "file"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / side), F.lit(1)).cast("int"))
+    own, every = F.pmod(F.xxhash64("entry_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = t.select("namespace", "file", F.col("entry_id").alias("a"), own.alias("i"), every.alias("j"))
+    b = t.select("namespace", "file", F.col("entry_id").alias("b"), every.alias("i"), own.alias("j"))
+    return a.join(b, ["namespace", "file", "i", "j"]).where("a < b").groupBy("namespace", "a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
 def lineage_edges(entries: DataFrame) -> DataFrame:

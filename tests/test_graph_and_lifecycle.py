@@ -36,6 +36,18 @@ def test_tag_pairs_skip_hubs(spark):
     assert got == [("a", "b", 2, 0.5)]  # all tags of both count below, hubs too
 
 
+def test_shared_files_keep_popular_files(spark):
+    rows = [("n", "popular", f"e{i:03}") for i in range(520)] + [("n", "few", "e003"), ("n", "few", "e007"), ("m", "popular", "e003"), ("n", "popular", "e003")]
+    p = spark.createDataFrame(rows, "namespace string, file string, entry_id string")
+    assert graph.shared_files(p, 1).count() == 520 * 519 // 2
+    assert [tuple(r) for r in graph.shared_files(p, 2).collect()] == [("n", "e003", "e007", 2)]
+    some = p.where("file = 'few' OR entry_id < 'e030'")
+    want = {("n", f"e{i:03}", f"e{j:03}", 1 + ((i, j) == (3, 7))) for i in range(30) for j in range(i + 1, 30)}
+    for side in (1, 4, 29, 500):
+        got = [tuple(r) for r in graph.shared_files(some, 1, side).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_greedy_dedup_is_ordered(spark):
     pairs = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 3, 4), ("g", 1, 5), ("g", 4, 6), ("h", 7, 8)], "namespace string, a bigint, b bigint")
     assert {(r["id"], r["into"]) for r in lifecycle.greedy_dedup(pairs).collect()} == {(2, 1), (4, 3), (5, 1), (8, 7)}
