@@ -261,7 +261,7 @@ def g7_propagate(spark, d):
 
 @book.add()
 def g8_dense_clusters(spark, d):
-    return graph.dense_clusters(_edges(spark, d).where("edge_type = 'similarity'"), 3)
+    return graph.dense_clusters(_edges(spark, d), 3)
 
 
 def queries() -> dict:

@@ -1,4 +1,5 @@
 from palimpsest.operators import graph, lifecycle, listing, vectors
+from palimpsest.plans import lifecycle as plans
 
 
 def edges(spark, rows):
@@ -29,6 +30,14 @@ def test_conflicts_and_clusters(spark):
     assert {x["id"] for x in graph.dense_clusters(clique).collect()} == set("abcde")
 
 
+def test_dense_clusters_of_all_edge_types(spark, tmp_path):
+    types = ["similarity", "related_to", "tag_cooccurrence", "supersedes", "co_anchored", "related_to"]
+    pairs = [(x, y) for x in "abcd" for y in "abcd" if x < y]
+    rows = [(*p, t, 1.0) for p, t in zip(pairs, types)] + [("p", "q", "supersedes", 1.0), ("q", "r", "co_anchored", None), ("r", "p", "related_to", 1.0), ("b", "a", "related_to", 1.0), ("s", "t", "similarity", 1.0)]
+    edges(spark, rows).write.parquet(str(tmp_path / "memory_graph_edges.parquet"))
+    assert {(r["cluster"], r["id"]) for r in plans.g8_dense_clusters(spark, str(tmp_path)).collect()} == {(0, x) for x in "abcd"} | {(1, x) for x in "pqr"}
+
+
 def test_tag_pairs_skip_hubs(spark):
     rows = [("n", t, e) for e, ts in {"a": "xyh", "b": "xyh", "c": "xh", "d": "yh"}.items() for t in ts]
     t = spark.createDataFrame(rows + rows[:2], "namespace string, tag string, entry_id string")
