@@ -44,6 +44,7 @@ MISSING = ["", "und", "unknown", "n/a"]
 _NAMES = {name: code for code, names in LABELS.items() for name in names}
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
 _BULLET = re.compile(r"^\s*(?:[-*•>]+|\d+[.)])\s+")
+_HASHES = re.compile(r"^\s*#+")
 _END = re.compile(r"[.!?…]+[\"“”»’')\]]*(?=\s|$)")
 _QUOTE = re.compile(r"„[^„“”]{1,100}[“”]|“[^“”]{1,100}”|«[^«»]{1,100}»|\"[^\"]{1,100}\"")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -176,8 +177,10 @@ def sentences(text: str) -> Iterator[tuple[int, int, bool, str]]:
     """(start, end, whole, plain): the sentences of a text with their places.
 
     Tags, headings, fenced lines, bullets and quotation marks of line starts, and short quotations are set
-    to blanks (places stay).  A sentence runs over line ends within a paragraph or list item.  It is whole
-    if it begins with a capital, a digit or an identifier and ends with a mark of its own.
+    to blanks (places stay).  A heading's line that holds a finished sentence of LEAST_WORDS words or more is
+    text; a title before the sentence counts to it, as nothing marks where it ends.  A sentence runs over line
+    ends within a paragraph or list item.  It is whole if it begins with a capital, a digit or an identifier
+    and ends with a mark of its own.
     """
     flat = text.replace("\r", "\n") if "\r" in text else text
     if "<" in flat:
@@ -188,6 +191,11 @@ def sentences(text: str) -> Iterator[tuple[int, int, bool, str]]:
         if bare == "```":
             fenced = not fenced
             out.append(" " * len(line) + _BREAK)
+        elif not fenced and bare[:1] == "#" and _has_sentence(line):
+            if out:
+                out[-1] = out[-1][:-1] + _BREAK
+            mark = _HASHES.match(line)
+            out.append(" " * mark.end() + line[mark.end() :] + " ")
         elif fenced or not bare or bare[0] == "#":
             out.append(" " * len(line) + _BREAK)
         elif bare[0] in "-*•>0123456789" and (mark := _BULLET.match(line)):
@@ -210,6 +218,15 @@ def sentences(text: str) -> Iterator[tuple[int, int, bool, str]]:
         at += len(part) + 1
 
 
+def _has_sentence(line: str) -> bool:
+    pos = 0
+    for m in _END.finditer(line):
+        if sum(1 for t in line[pos : m.end()].split() if _CONTENT.search(t)) >= LEAST_WORDS:
+            return True
+        pos = m.end()
+    return False
+
+
 def _sentence(plain: str, at: int, ended: bool) -> Iterator[tuple[int, int, bool, str]]:
     first = _HEAD.search(plain)
     if first:

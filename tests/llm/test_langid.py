@@ -61,6 +61,20 @@ def test_sentences():
     assert [g[1] for g in got[3:]] == [False, False] and "code" not in str(got)
 
 
+def test_sentences_on_a_heading_line():
+    text = "Before it\n## Notes on feeds.backfill Nous avons constaté que la réplique ignorait les fenêtres. Deux mots.\nAfter it.\n# Short title. Few words.\n# A title with more than eight words in it all"
+    got = [(text[a:b], whole) for a, b, whole, _ in langid.sentences(text)]
+    assert got == [("Before it", False), ("Notes on feeds.backfill Nous avons constaté que la réplique ignorait les fenêtres.", True), ("Deux mots.", True), ("After it.", True)]
+    assert list(langid.sentences("```\n# one two three four five six seven eight nine.\n```")) == []
+
+
+def test_found_on_a_heading_line(spark):
+    rnd = random.Random(13)
+    extra = [(2000, "# Notes on feeds.backfill " + sentence("fr", rnd) + " " + sentence("fr", rnd) + "\n\n" + sentence("en", rnd, 14) + " " + sentence("en", rnd, 14), "en")]
+    df = spark.createDataFrame(corpus() + extra, "doc_id bigint, text string, lang string")
+    assert {(r["doc_id"], r["lang"]) for r in langid.language_cases(df, langid.train(df)).collect() if r["doc_id"] >= 2000} == {(2000, "en"), (2000, "fr")}
+
+
 def test_found(spark):
     rnd = random.Random(9)
     extra = [
