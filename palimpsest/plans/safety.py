@@ -247,7 +247,7 @@ _TERM = "exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y)
 
 @book.add("{E}, " + _FLAGS + f" SELECT x AS only_a, y AS only_b, round(least(1.0, 2 * (SELECT sum({_TERM}) FROM range(0, 1000000) t(i) WHERE i <= least(x, y))), 6) AS p_two_sided, round(least(1.0, (SELECT sum({_TERM}) FROM range(0, 1000000) t(i) WHERE i <= x)), 6) AS p_one_sided FROM c")
 def a13_mcnemar(spark, d):
-    e = entries(spark, d, "importance", "access_count").where("importance IS NOT NULL AND access_count IS NOT NULL AND namespace LIKE 'user:%'")
+    e = entries(spark, d, "importance", "access_count").where("importance IS NOT NULL AND access_count IS NOT NULL")
     out = metrics.mcnemar(e.select((F.col("importance") > 0.5).alias("a"), (F.col("access_count") > 10).alias("b")), "a", "b")
     return out.select("only_a", "only_b", F.round("p_two_sided", 6).alias("p_two_sided"), F.round("p_one_sided", 6).alias("p_one_sided"))
 

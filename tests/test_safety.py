@@ -1,7 +1,10 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import metrics, security, sync
+from palimpsest.plans import safety as plans
 
 
 def test_findings():
@@ -71,3 +74,12 @@ def test_metrics(spark):
     pairs = spark.createDataFrame([(True, False)] + [(False, True)] * 8 + [(True, True)], "a boolean, b boolean")
     m = metrics.mcnemar(pairs, "a", "b").first()
     assert (m["only_a"], m["only_b"]) == (1, 8) and m["p_two_sided"] == pytest.approx(0.0390625)
+
+
+def test_mcnemar_counts_every_namespace(spark, tmp_path):
+    kinds = [("user:a", 0.9, 1)] * 2 + [("project:b", 0.9, 1)] * 3 + [("default", 0.1, 50)] * 9 + [("team:c", 0.9, 50), ("user:a", 0.1, 1), ("global", None, 50), ("global", 0.9, None)]
+    rows = [(n, str(i), 1, a, b) for i, (n, a, b) in enumerate(kinds)]
+    spark.createDataFrame(rows, "namespace string, id string, updated_at bigint, importance double, access_count bigint").write.parquet(str(tmp_path / "memories.parquet"))
+    m = plans.a13_mcnemar(spark, str(tmp_path)).first()
+    tail = sum(math.comb(14, i) for i in range(6)) / 2**14
+    assert (m["only_a"], m["only_b"]) == (5, 9) and m["p_two_sided"] == pytest.approx(2 * tail, abs=1e-6) and m["p_one_sided"] == pytest.approx(tail, abs=1e-6)
