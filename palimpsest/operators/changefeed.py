@@ -3,13 +3,15 @@
 Order of two changes of one entry: greater sync_seq; if equal or a revision is missing, the clock that is
 nowhere smaller and somewhere greater; failing that, the greater sync_hash (none is lowest).  A delete
 removes the entry, an insert sets it, an update sets it unless it stands deleted.  So an entry exists iff
-it has no delete or its last insert is later than its last delete, and its last change set it: three
-maxima per entry instead of a sorted history, which combine map-side and keep a hot entry cheap.
+it has no delete or its last insert is later than its last delete, and its last change set it.
 
-For each of them a few candidates suffice, whatever the number of changes: a change that is later than
-all others has the greatest sync_seq (then either the greatest clock total, as a dominating clock has, or
-the greatest hash among concurrent ones), or no revision and the greatest clock total.  The candidates
-and the base row then meet in a small tournament.
+The latest of a set is found by knock-out: changes meet in pairs, the later one stays.  A change that is
+later than all others wins every knock-out, whatever the pairs, so each task may knock out its own part of
+the feed before the shuffle: a hot entry costs at most one change an op and task.  What is left is routed
+to the bucket of its key, and the touched buckets, each one file of sorted rows, are merged with their
+sorted changes; the last rounds and the meeting with the base row are part of that merge.  A bucket that
+no change names is neither read nor written.  If the rules contradict each other (three or more changes
+that beat each other in a ring), no change is later than all others and one of the ring is taken.
 
 A removed entry stays as a row with pending_delete, and every row that a feed has named keeps its last
 delete and insert, so a feed may come in parts and in any order: the parts together give what the whole
@@ -18,6 +20,8 @@ gives (for changes that the rules order without a contradiction).  ``live_rows``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import iso_instant
 from ..sources.buckets import ROWS_PER_BUCKET, BucketedTable
-from ..sources.scratch import new_path, written
+from ..sources.scratch import new_path
 from .current import current_rows
 
 CLOCK = "map<string,bigint>"
@@ -35,6 +39,10 @@ VALUES = ["content", "importance", "status", "updated_at"]  # from the payload o
 POSITION = ["sync_seq", "sync_hash", "vector_clock"]  # of the entry's last change
 _CHANGE = f"struct<seq:bigint,hash:string,clock:{CLOCK},queue_id:bigint>"
 SET_BY, LAST_DELETE, LAST_INSERT = "_set_by", "_last_delete", "_last_insert"
+DELETE, INSERT, UPDATE, NOTHING = 0, 1, 2, 3
+HELD_ROWS = 100_000  # feed rows that a task reduces at a time
+_FEED = f"namespace string, id string, op int, seq bigint, hash string, clock {CLOCK}, queue_id bigint, content string, importance double, status string, updated_at timestamp"
+_MAP = pa.map_(pa.string(), pa.int64())
 
 
 def clock_order(a: Column, b: Column) -> Column:
@@ -45,117 +53,234 @@ def clock_order(a: Column, b: Column) -> Column:
     return F.when(up & ~down, 1).when(down & ~up, -1).otherwise(0)
 
 
-def is_later(a: Column, b: Column) -> Column:
-    order = clock_order(a["clock"], b["clock"])
-    by_clock = F.when(order == 1, True).when(order == -1, False).otherwise(F.coalesce(a["hash"], F.lit("")) > F.coalesce(b["hash"], F.lit("")))
-    return F.when(a["seq"].isNotNull() & b["seq"].isNotNull() & (a["seq"] != b["seq"]), a["seq"] > b["seq"]).otherwise(by_clock)
-
-
-def latest(changes: Column) -> Column:
-    """The latest of an array of changes (nulls are none); of two that tie, the one named first."""
-    return F.aggregate(changes, F.lit(None).cast(_CHANGE), lambda acc, x: F.when(x.isNull(), acc).when(acc.isNull() | is_later(x, acc), x).otherwise(acc))
-
-
 def queue_changes(queue: DataFrame) -> DataFrame:
-    """Feed records as changes: namespace, id, op, seq, hash, clock, queue_id.
+    """Feed records as changes with the values of their payload; columns as in ``_FEED``.
 
     A record whose op names nothing and whose payload does not ask for deletion changes nothing; it is kept
-    with a null op, so that its entry counts as one with a record.  An unreadable payload is an empty one.
+    as NOTHING, so that its entry counts as one with a record.  An unreadable payload is an empty one.  A
+    null queue_id counts as 0.
     """
     p = F.from_json("payload", PAYLOAD)
-    op = F.when((F.lower(F.trim("op")) == "delete") | p["pending_delete"], "delete").when(F.lower(F.trim("op")).isin("insert", "update"), F.lower(F.trim("op")))
+    name = F.lower(F.trim("op"))
+    op = F.when((name == "delete") | p["pending_delete"], DELETE).when(name == "insert", INSERT).when(name == "update", UPDATE).otherwise(NOTHING)
     whole = F.col("revision.sync_seq").isNotNull()
     return queue.where("namespace IS NOT NULL AND entry_id IS NOT NULL").select(
-        "namespace", F.col("entry_id").alias("id"), op.alias("op"), F.when(whole, F.col("revision.sync_seq")).alias("seq"),
-        F.when(whole, F.col("revision.sync_hash")).alias("hash"), F.coalesce(p["vector_clock"], F.create_map().cast(CLOCK)).alias("clock"), "queue_id",
+        "namespace", F.col("entry_id").alias("id"), op.cast("int").alias("op"), F.when(whole, F.col("revision.sync_seq")).alias("seq"),
+        F.when(whole, F.col("revision.sync_hash")).alias("hash"), F.coalesce(p["vector_clock"], F.create_map().cast(CLOCK)).alias("clock"), F.coalesce("queue_id", F.lit(0).cast("bigint")).alias("queue_id"),
+        p["content"].alias("content"), p["importance"].alias("importance"), p["status"].alias("status"), iso_instant(p["updated_at"]).alias("updated_at"),
     )
 
 
-def entry_candidates(changes: DataFrame) -> DataFrame:
-    """Per (namespace, id) and op, the candidates for its latest change, as an array of changes."""
-    total = F.aggregate(F.map_values("clock"), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    listed = F.array_sort(F.map_entries("clock"))
-    c = changes.withColumn("total", total).withColumn("listed", listed).withColumn("first", -F.col("queue_id"))
-    aggs = []
-    for op in ("delete", "insert", "update"):
-        has = F.col("op") == op
-        with_rev, without = has & F.col("seq").isNotNull(), has & F.col("seq").isNull()
-        aggs += [
-            F.max(F.when(with_rev, F.struct("seq", "total", "hash", "first", "listed"))).alias(f"{op}_t"),
-            F.max(F.when(with_rev, F.struct("seq", "hash", "total", "first", "listed"))).alias(f"{op}_h"),
-            F.max(F.when(without, F.struct("total", "listed", "first"))).alias(f"{op}_u"),
-        ]
-    got = c.groupBy("namespace", "id").agg(*aggs)
-
-    def change(name: str) -> Column:
-        x = F.col(name)
-        seq, digest = (F.lit(None), F.lit(None)) if name.endswith("_u") else (x["seq"], x["hash"])
-        made = F.struct(seq.cast("bigint").alias("seq"), digest.cast("string").alias("hash"), F.map_from_entries(x["listed"]).alias("clock"), (-x["first"]).alias("queue_id"))
-        return F.when(x.isNotNull(), made).cast(_CHANGE)
-
-    return got.select("namespace", "id", *[F.array(*[change(f"{op}_{k}") for k in "thu"]).alias(op) for op in ("delete", "insert", "update")])
-
-
-def verdicts(changes: DataFrame, base: DataFrame) -> DataFrame:
-    """namespace, id, present, win, d, i, l: the state of every entry that the feed names.
-
-    ``win`` is the queue_id of the feed change that is the entry's last, or 0 if the base row still is;
-    d, i and l are its last delete, insert and change.  ``base`` has one row per key; it counts as a
-    change: a delete if pending_delete is true, else an insert, beside the delete and insert it remembers.
-    A feed change with its revision, or without one and with its clock, is that same change.
-    """
-    own = F.struct(F.col("sync_seq").alias("seq"), F.when(F.col("sync_seq").isNotNull(), F.col("sync_hash")).alias("hash"), F.coalesce("vector_clock", F.create_map().cast(CLOCK)).alias("clock"), F.lit(0).cast("bigint").alias("queue_id")).cast(_CHANGE)
-    gone, named = F.coalesce("pending_delete", F.lit(False)), F.col(SET_BY).isNotNull()
-    b = base.select(
-        "namespace", "id", own.alias("base"), F.when(named, F.col(LAST_DELETE)).when(gone, own).alias("base_d"), F.when(named, F.col(LAST_INSERT)).when(~gone, own).alias("base_i"),
-    )
-    j = entry_candidates(changes).hint("merge").join(b, ["namespace", "id"], "left")
-    known = F.col("base").isNotNull()
-
-    same_clock = lambda x: F.array_sort(F.map_entries(x["clock"])) == F.array_sort(F.map_entries(F.col("base.clock")))
-    same = lambda x: F.when(x["seq"].isNotNull(), (x["seq"] == F.col("base.seq")) & x["hash"].eqNullSafe(F.col("base.hash"))).otherwise(same_clock(x))
-    other = lambda op: F.filter(op, lambda x: x.isNotNull() & ~(known & F.coalesce(same(x), F.lit(False))))
-    j = j.select("namespace", "id", "base", "base_d", "base_i", *[other(op).alias(op) for op in ("delete", "insert", "update")])
-    j = j.select(
-        "namespace", "id", latest(F.concat(F.array("base_d"), "delete")).alias("d"), latest(F.concat(F.array("base_i"), "insert")).alias("i"),
-        latest(F.concat(F.array("base"), "delete", "insert", "update")).alias("l"),
-    )
-    present = F.col("l").isNotNull() & (F.col("d").isNull() | (F.col("i").isNotNull() & is_later(F.col("i"), F.col("d"))))
-    return j.select("namespace", "id", F.coalesce(present, F.lit(False)).alias("present"), F.coalesce("l.queue_id", F.lit(0)).alias("win"), "d", "i", "l")
+class Changes:
+    """Changes by index, for comparisons of whole arrays of them."""
+
+    def __init__(self, seq: pa.Array, digest: pa.Array, clock: pa.Array, queue_id: pa.Array, content: pa.Array | None = None):
+        self.has_seq = seq.is_valid().to_numpy(zero_copy_only=False)
+        self.seq = pc.fill_null(seq, 0).to_numpy(zero_copy_only=False)
+        self.no_hash = digest.is_null().to_numpy(zero_copy_only=False)
+        self.hash = text_ranks(pc.fill_null(digest, ""))
+        self.queue_id = pc.fill_null(queue_id, 0).to_numpy(zero_copy_only=False)
+        self.content = None if content is None else text_ranks(pc.fill_null(content, ""))
+        self.offsets = clock.offsets.to_numpy(zero_copy_only=False)
+        nodes = clock.keys.dictionary_encode()
+        self.node, self.n_nodes = nodes.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(nodes.dictionary))
+        self.tick = pc.fill_null(clock.items, 0).to_numpy(zero_copy_only=False)
+        self.valid_clock = clock.is_valid().to_numpy(zero_copy_only=False)
+
+    def _entries(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair number, place of the entry) of all clock entries of the changes ``of``."""
+        size = np.where(self.valid_clock[of], self.offsets[of + 1] - self.offsets[of], 0)
+        pair = np.repeat(np.arange(len(of)), size)
+        start = np.repeat(self.offsets[of] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(of) else np.empty(0, np.int64)
+        return pair, (start + np.arange(len(pair))).astype(np.int64)
+
+    def clocks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a somewhere greater, b somewhere greater, the same entries) for each pair; an absent node counts 0."""
+        pa_, ia = self._entries(a)
+        pb_, ib = self._entries(b)
+        key = np.concatenate([pa_, pb_]) * self.n_nodes + self.node[np.concatenate([ia, ib])]
+        gap = np.concatenate([self.tick[ia], -self.tick[ib]])
+        side = np.concatenate([np.ones(len(ia), np.int64), -np.ones(len(ib), np.int64)])
+        up, down, differs = (np.zeros(len(a), bool) for _ in range(3))
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+            gaps, sides, pair = np.add.reduceat(gap[order], first), np.add.reduceat(side[order], first), key[first] // self.n_nodes
+            up[pair[gaps > 0]] = True
+            down[pair[gaps < 0]] = True
+            differs[pair[(gaps != 0) | (sides != 0)]] = True
+        return up, down, ~differs
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a is later, b is later, one and the same change) for each pair."""
+        up, down, equal = self.clocks(a, b)
+        by_hash = self.hash[a].astype(np.int64) - self.hash[b]
+        sign = np.where(up & ~down, 1, np.where(down & ~up, -1, np.sign(by_hash)))
+        both = self.has_seq[a] & self.has_seq[b]
+        sign = np.where(both & (self.seq[a] != self.seq[b]), np.sign(self.seq[a] - self.seq[b]), sign)
+        same = np.where(both, (self.seq[a] == self.seq[b]) & (by_hash == 0) & (self.no_hash[a] == self.no_hash[b]), ~self.has_seq[a] & ~self.has_seq[b] & equal)
+        return (sign > 0) & ~same, (sign < 0) & ~same, same
+
+    def champions(self, group: np.ndarray) -> np.ndarray:
+        """The latest change of every group; ``group`` is ascending.
+
+        Records of one change are represented by that of the smallest queue_id (then the greatest content).
+        """
+        alive = np.arange(len(group))
+        while True:
+            g = group[alive]
+            turn = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
+            place = np.arange(len(g)) - np.maximum.accumulate(np.where(turn, np.arange(len(g)), 0))
+            right = np.nonzero(place % 2 == 1)[0]
+            if not len(right):
+                return alive
+            a, b = alive[right - 1], alive[right]
+            _, later, same = self.compare(a, b)
+            earlier_record = (self.queue_id[b] < self.queue_id[a]) | ((self.queue_id[b] == self.queue_id[a]) & (self.content[b] > self.content[a]) if self.content is not None else False)
+            takes = later | (same & earlier_record)
+            alive[right - 1] = np.where(takes, b, a)
+            alive = np.delete(alive, right)
+
+    def later_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """b where it is later than a, else a; -1 is no change."""
+        out = np.where(a < 0, b, a)
+        both = np.nonzero((a >= 0) & (b >= 0))[0]
+        _, later, _ = self.compare(a[both], b[both])
+        out[both] = np.where(later, b[both], a[both])
+        return out
+
+
+def text_ranks(text: pa.Array) -> np.ndarray:
+    """Numbers in the order of the texts (by code point), equal for equal texts."""
+    coded = text.dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    return rank[coded.indices.to_numpy(zero_copy_only=False)] if len(rank) else np.empty(0, np.int64)
+
+
+def _column(t: pa.Table, name: str, kind: pa.DataType | None = None) -> pa.Array:
+    c = t[name].combine_chunks()
+    return c if kind is None or c.type == kind else c.cast(kind)
+
+
+def _feed_changes(t: pa.Table) -> Changes:
+    return Changes(_column(t, "seq"), _column(t, "hash"), _column(t, "clock", _MAP), _column(t, "queue_id"), _column(t, "content"))
+
+
+def latest_changes(feed: pa.Table) -> pa.Table:
+    """The latest change of every entry and op."""
+    ns, id_ = (feed[c].combine_chunks().dictionary_encode() for c in ("namespace", "id"))
+    key = (ns.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(id_.dictionary)) + id_.indices.to_numpy(zero_copy_only=False)) * 4 + feed["op"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    feed = feed.take(pa.array(order))
+    return feed.take(pa.array(_feed_changes(feed).champions(key[order])))
+
+
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= HELD_ROWS:
+            left = latest_changes(pa.Table.from_batches(held))
+            if left.num_rows * 2 > rows:  # little to gain from keeping them
+                yield from left.to_batches()
+                held, rows = [], 0
+            else:
+                held, rows = left.to_batches(), left.num_rows
+    if rows:
+        yield from latest_changes(pa.Table.from_batches(held)).to_batches()
+
+
+def _pick(parts: list[pa.Array], index: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
+    return pa.concat_arrays(parts).take(pa.array(index, mask=none))
 
 
 def merge_bucket(base: pa.Table, changes: pa.Table) -> pa.Table:
-    """Linear merge of one bucket, both sides sorted by key; see ``apply_feed`` for what a change does to its row."""
-    key = lambda t: np.array(pc.binary_join_element_wise(t["namespace"], t["id"], "\x00").to_pylist(), dtype=object)
-    bk, ck = key(base), key(changes)
-    pos = np.searchsorted(bk, ck) if len(bk) else np.zeros(len(ck), dtype=np.int64)
-    hit = np.array([p < len(bk) and bk[p] == k for p, k in zip(pos, ck)], dtype=bool)
-    fresh = np.nonzero(~hit)[0]
-    n = len(bk)
-    change_of = np.full(n, -1, dtype=np.int64)
-    change_of[pos[hit]] = np.nonzero(hit)[0]
-    touched = change_of >= 0
-    win = changes["win"].to_numpy()
-    moved = touched.copy()  # the last change is a new one
-    moved[touched] = win[change_of[touched]] > 0
-    at = pa.array(np.where(touched, change_of, 0), mask=~touched)
+    """One bucket's rows after its changes, both sides sorted by key; see ``apply_feed``."""
+    nb, nc = base.num_rows, changes.num_rows
+    both = [pa.concat_arrays([_column(base, c, pa.string()), _column(changes, c, pa.string())]) for c in ("namespace", "id")]
+    ids = text_ranks(both[1])
+    keys = text_ranks(both[0]) * (int(ids.max()) + 1 if len(ids) else 1) + ids
+    base_key, change_key = keys[:nb], keys[nb:]
+    first = np.nonzero(np.concatenate([[True], change_key[1:] != change_key[:-1]]))[0]
+    key, m = change_key[first], len(first)
+    entry = np.repeat(np.arange(m), np.diff(np.append(first, nc)))
+    place = np.searchsorted(base_key, key)
+    hit = np.zeros(m, bool)
+    hit[place < nb] = base_key[place[place < nb]] == key[place < nb]
+    at = pa.array(np.where(hit, place, 0), mask=~hit)
+    old = base.take(at)
+
+    # one pool of changes: the feed's, then the base rows as changes, then the deletes and inserts they remember
+    own_seq = _column(old, "sync_seq", pa.int64())
+    own = [own_seq, pc.if_else(own_seq.is_valid(), _column(old, "sync_hash"), pa.scalar(None, pa.string())), _column(old, "vector_clock", _MAP), pa.array(np.zeros(m, np.int64))]
+    remembered = [[_column(old, c).field(f) if f != "clock" else _column(old, c).field(f).cast(_MAP) for f in ("seq", "hash", "clock", "queue_id")] for c in (LAST_DELETE, LAST_INSERT)]
+    feed = [_column(changes, "seq"), _column(changes, "hash"), _column(changes, "clock", _MAP), _column(changes, "queue_id")]
+    pool_columns = [pa.concat_arrays([f, o, d.cast(f.type), i.cast(f.type)]) for f, o, d, i in zip(feed, own, *remembered)]
+    pool = Changes(*pool_columns, content=pa.concat_arrays([_column(changes, "content"), pa.nulls(3 * m, pa.string())]))
+
+    op = changes["op"].to_numpy()
+    order = np.argsort(entry * 4 + op, kind="stable")
+    winner = order[Changes(*[c.take(pa.array(order)) for c in feed], content=_column(changes, "content").take(pa.array(order))).champions((entry * 4 + op)[order])]
+    of_op = np.full((3, m), -1, np.int64)
+    for o in (DELETE, INSERT, UPDATE):
+        mine = winner[op[winner] == o]
+        of_op[o, entry[mine]] = mine
+    base_own = np.where(hit, nc + np.arange(m), -1)
+    for o in range(3):  # the base row's own change, sent again
+        meet = np.nonzero((of_op[o] >= 0) & hit)[0]
+        of_op[o, meet[pool.compare(of_op[o, meet], base_own[meet])[2]]] = -1
+    named = _column(old, SET_BY).is_valid().to_numpy(zero_copy_only=False)
+    gone = pc.fill_null(_column(old, "pending_delete"), False).to_numpy(zero_copy_only=False)
+    kept = [_column(old, c).is_valid().to_numpy(zero_copy_only=False) for c in (LAST_DELETE, LAST_INSERT)]
+    base_d = np.where(named, np.where(kept[0], nc + m + np.arange(m), -1), np.where(gone, base_own, -1))
+    base_i = np.where(named, np.where(kept[1], nc + 2 * m + np.arange(m), -1), np.where(gone, -1, base_own))
+    d, i = pool.later_of(base_d, of_op[DELETE]), pool.later_of(base_i, of_op[INSERT])
+    last = base_own
+    for o in (DELETE, INSERT, UPDATE):
+        last = pool.later_of(last, of_op[o])
+    present = (last >= 0) & (d < 0)
+    race = np.nonzero((last >= 0) & (d >= 0) & (i >= 0))[0]
+    present[race] = pool.compare(i[race], d[race])[0]
+    moved = (last >= 0) & (last < nc)  # the last change is a new one
+
+    def struct_of(which: np.ndarray) -> pa.Array:
+        none = which < 0
+        fields = [c.take(pa.array(np.where(none, 0, which), mask=none)) for c in pool_columns]
+        return pa.StructArray.from_arrays(fields, names=["seq", "hash", "clock", "queue_id"], mask=pa.array(none))
+
+    def set_column(name: str, source: str) -> pa.Array:
+        was = _column(old, name)
+        new = _column(changes, source, None)
+        new = new if new.type == was.type else new.cast(was.type)
+        return _pick([was, new], np.where(moved, m + last, np.arange(m)))
+
     columns = []
     for f in base.schema:
-        old = base[f.name].combine_chunks()
-        if f.name in changes.column_names and f.name not in ("namespace", "id"):
-            new = changes[f.name].combine_chunks().cast(f.type)
-            where = dict.fromkeys([*VALUES, *POSITION, SET_BY], moved).get(f.name, touched)
-            index = np.where(where, np.arange(n) + n, np.arange(n))
-            merged = pa.concat_arrays([old, new.take(at)]).take(pa.array(index))
-            if f.name == SET_BY:  # a row that still stands by itself is named from now on
-                merged = pc.if_else(pa.array(touched), pc.coalesce(merged, pa.scalar(0, f.type)), merged)
-            added = new.take(pa.array(fresh))
+        if f.name in ("namespace", "id"):
+            c = _column(changes, f.name).take(pa.array(first))
+        elif f.name in VALUES:
+            c = set_column(f.name, f.name)
+        elif f.name in POSITION:
+            c = set_column(f.name, {"sync_seq": "seq", "sync_hash": "hash", "vector_clock": "clock"}[f.name])
+        elif f.name == SET_BY:
+            c = pc.fill_null(set_column(SET_BY, "queue_id"), 0)  # a row that still stands by itself is named from now on
+        elif f.name == "pending_delete":
+            c = pa.array(~present)
+        elif f.name in (LAST_DELETE, LAST_INSERT):
+            c = struct_of(d if f.name == LAST_DELETE else i)
         else:
-            merged = old
-            added = changes[f.name].combine_chunks().take(pa.array(fresh)).cast(f.type) if f.name in ("namespace", "id") else pa.nulls(len(fresh), f.type)
-        columns.append(pa.concat_arrays([merged, added]))
-    order = np.argsort(np.concatenate([np.arange(n).astype(float), pos[fresh] - 0.5]), kind="stable")
-    return pa.table(columns, schema=base.schema).take(pa.array(order))
+            c = _column(old, f.name)
+        columns.append(c if c.type == f.type else c.cast(f.type))
+    touched = pa.table(columns, schema=base.schema)
+    rest = np.ones(nb, bool)
+    rest[place[hit]] = False
+    # two sorted runs: a stable sort merges them in linear time
+    merged = np.argsort(np.concatenate([base_key[rest], key]), kind="stable")
+    return pa.concat_tables([base.filter(pa.array(rest)), touched]).combine_chunks().take(pa.array(merged))
 
 
 def bootstrap(memories: DataFrame, root: str | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> BucketedTable:
@@ -174,18 +299,7 @@ def apply_feed(table: BucketedTable, queue: DataFrame) -> BucketedTable:
     removed one gets pending_delete.  Order of arrival, repeated records and repeated application change
     nothing.  An empty feed commits a version with the same files.  Null namespaces or ids name no entry.
     """
-    base = table.read().select("namespace", "id", *POSITION, "pending_delete", SET_BY, LAST_DELETE, LAST_INSERT)
-    done = written(verdicts(queue_changes(queue), base), "verdicts")
-    p = F.from_json("payload", PAYLOAD)
-    winners = done.where("win > 0").select(F.col("win").alias("queue_id"), "namespace", "id").join(queue.select("queue_id", "payload").where("queue_id > 0"), "queue_id")
-    values = winners.groupBy("namespace", "id").agg(F.max("payload").alias("payload")).select(
-        "namespace", "id", p["content"].alias("content"), p["importance"].alias("importance"), p["status"].alias("status"), iso_instant(p["updated_at"]).alias("updated_at"),
-    )
-    routed = done.join(values, ["namespace", "id"], "left").select(
-        "namespace", "id", "win", *VALUES, F.col("l.seq").alias("sync_seq"), F.col("l.hash").alias("sync_hash"), F.col("l.clock").alias("vector_clock"),
-        (~F.col("present")).alias("pending_delete"), F.col("win").alias(SET_BY), F.col("d").alias(LAST_DELETE), F.col("i").alias(LAST_INSERT),
-    )
-    return table.merge(routed, merge_bucket)
+    return table.merge(queue_changes(queue).mapInArrow(_reduced, _FEED), merge_bucket)
 
 
 def live_rows(table: BucketedTable) -> DataFrame:

@@ -1,10 +1,13 @@
 import datetime as dt
 import functools
+import itertools
 import json
+import os
 import random
 
 import pytest
 
+from palimpsest.operators import changefeed
 from palimpsest.operators.changefeed import SET_BY, apply_feed, bootstrap, live_rows
 from palimpsest.sources.buckets import BucketedTable
 from palimpsest.sources.scratch import new_path
@@ -142,7 +145,7 @@ def test_untouched_buckets_keep_their_files_and_versions_stay(spark):
     mem = [memory(f"e{i}", 1, {}) for i in range(60)]
     base = bootstrap(spark.createDataFrame(mem, MEM), rows_per_bucket=3)
     after = apply_feed(base, spark.createDataFrame([record(1, "e7", "update", {"x": 1}, (2, "z"))], QUEUE))
-    old, new = base.manifest["buckets"], after.manifest["buckets"]
+    old, new = base.files(), after.files()
     assert sum(old[k] != new[k] for k in old) == 1 and after.manifest["version"] == 1
     assert state(base)[("n", "e7")] == ("base e7", None) and state(after)[("n", "e7")] == ("by 1", 1)
     assert BucketedTable.open(spark, base.root).manifest == after.manifest
@@ -154,6 +157,54 @@ def test_untouched_buckets_keep_their_files_and_versions_stay(spark):
     assert row["tags"] == ["t"] and row["vector_clock"] == {"x": 1} and row["importance"] == 0.9 and row["updated_at"] == dt.datetime(2024, 3, 1)
 
 
+def test_only_touched_buckets_are_read(spark):
+    mem = [memory(f"e{i}", 1, {}) for i in range(60)]
+    base = bootstrap(spark.createDataFrame(mem, MEM), rows_per_bucket=3)
+    feed = spark.createDataFrame([record(1, "e7", "update", {"x": 1}, (2, "z"))], QUEUE)
+    spare = bootstrap(spark.createDataFrame(mem, MEM), rows_per_bucket=3)
+    touched = next(k for k, f in apply_feed(spare, feed).files().items() if f != spare.files()[k])
+    gone = [f for k, fs in base.files().items() if k != touched for f in fs]
+    assert len(gone) >= 8
+    for f in gone:
+        os.remove(f.removeprefix("file:"))
+    after = apply_feed(base, feed)  # would fail on any other bucket
+    rows = spark.read.schema(after.schema).parquet(*after.files()[touched]).where("id = 'e7'").collect()
+    assert [(r["content"], r[SET_BY]) for r in rows] == [("by 1", 1)]
+
+
+def test_tasks_can_read_the_files_by_themselves(spark):
+    table = bootstrap(spark.createDataFrame([memory(f"e{i}", i, {"x": i}) for i in range(40)], MEM), rows_per_bucket=3)
+    cols = ["namespace", "id", "vector_clock", "updated_at", "tags"]
+    as_sets = lambda df: {(r["namespace"], r["id"], str(r["vector_clock"]), r["updated_at"], str(r["tags"])) for r in df.collect()}
+    assert as_sets(table.read(cols, many=1)) == as_sets(table.read().select(*cols)) and table.read(cols, many=1).count() == 40
+
+
+def test_ring_free_ties_of_one_sync_seq(spark):
+    """A dominates B, B has the greatest hash, C has the greatest total and is concurrent with A, whose hash is greater: A is latest."""
+    a, b, c = ({"x": 2, "y": 1}, (5, "k2")), ({"x": 1, "y": 1}, (5, "k3")), ({"z": 9}, (5, "k1"))
+    for order in itertools.permutations((a, b, c)):
+        recs = [record(q, "e", "insert", clock, rev) for q, (clock, rev) in enumerate(order, 1)]
+        table = run(spark, [], recs)
+        assert state(table) == {("n", "e"): (f"by {1 + order.index(a)}", 1 + order.index(a))}
+
+
+def test_queue_ids_of_zero_and_below(spark):
+    got = state(run(spark, [memory("a", 1, {"x": 1})], [record(0, "a", "update", {"x": 2}, (2, "k")), record(-3, "b", "insert", {"x": 2}, (2, "k"))]))
+    assert got == {("n", "a"): ("by 0", 0), ("n", "b"): ("by -3", -3)}
+
+
+def test_a_task_reduces_hot_entries(monkeypatch):
+    import pyarrow as pa
+
+    kind = {"seq": pa.int64(), "hash": pa.string(), "clock": pa.map_(pa.string(), pa.int64()), "queue_id": pa.int64(), "op": pa.int32(), "importance": pa.float64(), "updated_at": pa.timestamp("us", "UTC")}
+    rows = [{"namespace": "n", "id": "hot" if i % 3 else f"e{i}", "op": i % 4, "seq": i, "hash": f"h{i}", "clock": [("x", i)], "queue_id": 10_000 - i, "content": None, "importance": None, "status": None, "updated_at": None} for i in range(3000)]
+    schema = pa.schema([(c, kind.get(c, pa.string())) for c in rows[0]])
+    monkeypatch.setattr(changefeed, "HELD_ROWS", 500)
+    out = pa.Table.from_batches(list(changefeed._reduced(iter(pa.Table.from_pylist(rows, schema).to_batches(100)))), schema=schema).to_pylist()
+    assert {(r["id"], r["op"]) for r in out} == {(r["id"], r["op"]) for r in rows} and len(out) < 1100
+    assert max(r["seq"] for r in out if r["id"] == "hot") == 2999
+
+
 def test_empty(spark):
     t = bootstrap(spark.createDataFrame([], MEM), new_path(spark, "empty"))
     assert t.read().collect() == []
