@@ -8,6 +8,7 @@ rows match never depends on it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,11 @@ def key_hash(cols: Sequence[Column]) -> Column:
     return F.xxhash64(*cols)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01, most: int = 64) -> list[int]:
-    """Hashes of keys holding at least ``share`` of the rows; at most ``1/share`` of them exist."""
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01) -> list[int]:
+    """Hashes of keys holding at least ``share`` of the rows; at most ``1/share`` of them exist, and all are found."""
+    most = math.ceil(1 / share) + 1
     seen = df.select(key_hash([F.col(k) for k in keys]).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {int(most)}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
+        F.expr(f"approx_top_k(k, {most}, {max(TRACKED, 16 * most)})").alias("top"), F.count(F.lit(1)).alias("n")
     ).first()
     if not seen or not seen["n"]:
         return []
