@@ -1,23 +1,31 @@
 """Problem 7: evaluation texts inside training texts.
 
-The test items form one generalised suffix automaton over words.  Training texts are streamed through it
-word by word; the automaton's state is the longest suffix of the text read so far that occurs in some
-item, so each run shared with an item is seen with its full length.  The items are a held-out set of
-fixed size; their automaton (two states a word at most) goes to the executors as a broadcast after a check of its size.
-The corpus is neither shuffled nor collected.
+The test items form generalised suffix automata over words.  Training texts are streamed through them
+word by word; an automaton's state is the longest suffix of the text read so far that occurs in some
+item, so each run shared with an item is seen with its full length.  The items are dealt into parts of
+about PART_WORDS words (one part for an ordinary test suite); every part's automaton is built by a task,
+goes to the executors by itself, and the corpus is streamed through one part after the other, so neither
+the driver nor a worker ever holds more than one part, and the results are united.  The corpus is neither
+shuffled nor collected.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 LEAST_WORDS = 12
-MOST_ITEM_WORDS = 5_000_000
+PART_WORDS = 250_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -74,44 +82,103 @@ class SuffixAutomaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
         return cur
 
-    def anchors(self, least: int) -> list[int]:
+    def anchors(self, least: int) -> array:
         """For each state, the ancestor that holds its suffix of ``least`` words (itself or 0 if shorter)."""
-        out = [0] * len(self.next)
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+        out = array("i", bytes(4 * len(self.link)))
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             if self.length[s] >= least:
                 out[s] = out[self.link[s]] if self.length[self.link[s]] >= least else s
         return out
 
+    def packed(self) -> SuffixAutomaton:
+        """The finished automaton with numbers in arrays; only states with several ways on keep a dictionary."""
+        self.only_word, self.only_to = array("i", [-1] * len(self.next)), array("i", bytes(4 * len(self.next)))
+        self.ways = {}
+        for s, edges in enumerate(self.next):
+            if len(edges) == 1:
+                self.only_word[s], self.only_to[s] = next(iter(edges.items()))
+            elif edges:
+                self.ways[s] = edges
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.items = {s: own for s, own in enumerate(self.items) if own}
+        self.next = None
+        return self
+
     def runs(self, words: list[str], least: int) -> Iterator[tuple[int, int, int]]:
         """(end, matched, state) wherever the longest match that ends there has at least ``least`` words."""
-        nxt, link, length = self.next, self.link, self.length
+        link, length, word, to, ways, none = self.link, self.length, self.only_word, self.only_to, self.ways, {}
         state = matched = 0
         for end, w in enumerate(map(self.ids.get, words), 1):
             if w is None:
                 state = matched = 0
                 continue
-            to = nxt[state].get(w)
-            if to is not None:
-                state, matched = to, matched + 1
+            if word[state] == w:
+                state, matched = to[state], matched + 1
+            elif (far := ways.get(state, none).get(w)) is not None:
+                state, matched = far, matched + 1
             else:
                 state = link[state]
-                while state >= 0 and w not in nxt[state]:
+                while state >= 0 and word[state] != w and w not in ways.get(state, none):
                     state = link[state]
                 if state < 0:
                     state = matched = 0
                     continue
                 matched = length[state] + 1
-                state = nxt[state][w]
+                state = to[state] if word[state] == w else ways[state][w]
             if matched >= least:
                 yield end, matched, state
 
 
-def build(items: DataFrame, least: int = LEAST_WORDS, item: str = "item_id", text: str = "text", most_words: int = MOST_ITEM_WORDS) -> SuffixAutomaton:
-    """The automaton of all items; refuses a set whose words exceed the documented bound."""
-    chars = items.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    if chars > most_words * 6:
-        raise ValueError(f"{chars} characters of test items; build over parts of at most {most_words * 6}")
-    return SuffixAutomaton([(r[0], words_of(r[1])) for r in items.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(item, text).orderBy(item, text).collect()], least)
+def item_parts(items: DataFrame, least: int = LEAST_WORDS, item: str = "item_id", text: str = "text", part_words: int = PART_WORDS) -> DataFrame:
+    """(part, automaton): the automata of all items, pickled, built by one task a part and written.
+
+    Items go to parts by a hash of their id.  A text of more than half a part is cut into stretches of that
+    size which share ``least`` - 1 words, so that every run of ``least`` words stays whole in one of them (for
+    such an item n_words of a span is the longest match within a stretch).  Null texts and ids have no part.
+    """
+    stretch = max(part_words // 2, 2 * least)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(value)
+                for k in range(0, max(1, len(words) - least + 1), stretch):
+                    own = words[k : k + stretch + least - 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([k // stretch], pa.int64()), pa.array([" ".join(own)]), pa.array([len(own)], pa.int64())], names=["item", "stretch", "words", "n"])
+
+    live = items.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("bigint").alias("item"), text)
+    pieces = written(live.mapInArrow(cut, "item bigint, stretch bigint, words string, n bigint").where(F.col("n") >= least), "items")
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_parts = -(-total * 5 // (part_words * 4)) if total > part_words else 1  # a quarter of slack, as hashes deal unevenly
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["item", "stretch", "words"])
+        sam = SuffixAutomaton([(int(i), w.split()) for i, w in zip(pdf["item"], pdf["words"])], least).packed()
+        sam.anchor = sam.anchors(least)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "automaton": [pickle.dumps(sam, protocol=5)]})
+
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("item", "stretch"), F.lit(n_parts)))
+    return written(dealt.groupBy("part").applyInPandas(build, "part bigint, automaton binary"), "automata")
+
+
+class _Shared:
+    """One part's automaton on its way to the workers, unpickled once a worker."""
+
+    _held: tuple[str, SuffixAutomaton] | None = None
+
+    def __init__(self, spark, automata: DataFrame, part: int):
+        self.of, self.token = spark.sparkContext.broadcast(automata.where(F.col("part") == part).first()["automaton"]), uuid.uuid4().hex
+
+    @property
+    def value(self) -> SuffixAutomaton:
+        if _Shared._held is None or _Shared._held[0] != self.token:
+            _Shared._held = None
+            _Shared._held = self.token, pickle.loads(bytes(self.of.value))
+        return _Shared._held[1]
+
+
+def _parts(automata: DataFrame) -> list[int]:
+    return sorted(r["part"] for r in automata.select("part").collect())
 
 
 def _batches(texts: Iterator[pa.RecordBatch]):
@@ -119,88 +186,123 @@ def _batches(texts: Iterator[pa.RecordBatch]):
         yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, doc: str = "doc_id", text: str = "text", part_words: int = PART_WORDS) -> DataFrame:
     """(doc_id, item_id, first_word, last_word, n_words): maximal runs of shared words, 1-based and inclusive.
 
     A span belongs to every item that holds its last ``least`` words anywhere along it; n_words is the
-    longest match with any item.  Null or short texts and items have no span; a null doc_id or item_id
-    does not count; repeated items report once.  Empty tables give an empty result.
+    longest match with any item of the part.  Null or short texts and items have no span; a null doc_id or
+    item_id does not count; repeated items report once.  Empty tables give an empty result.
     """
     spark = documents.sparkSession
-    auto = spark.sparkContext.broadcast(build(items, least))
+    automata = item_parts(items, least, part_words=part_words)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("n_words", pa.int32())])
+    live = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).cast("bigint"), text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = auto.value
-        anchor, rows = sam.anchors(least), []
-        for key, value in _batches(batches):
-            open_: dict[int, list[int]] = {}
-            for end, matched, state in sam.runs(words_of(value), least):
-                for it in sam.items[anchor[state]]:
-                    span = open_.get(it)
-                    if span and span[1] == end - 1:
-                        span[1], span[2] = end, max(span[2], matched)
-                    else:
-                        if span:
-                            rows.append((key, it, *span))
-                        open_[it] = [end - least + 1, end, matched]
-            rows += [(key, it, *span) for it, span in open_.items()]
-            if len(rows) > 50_000:
+    def scan(shared: _Shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sam, rows = shared.value, []
+            anchor = sam.anchor
+            for key, value in _batches(batches):
+                open_: dict[int, list[int]] = {}
+                for end, matched, state in sam.runs(words_of(value), least):
+                    for it in sam.items[anchor[state]]:
+                        span = open_.get(it)
+                        if span and span[1] == end - 1:
+                            span[1], span[2] = end, max(span[2], matched)
+                        else:
+                            if span:
+                                rows.append((key, it, *span))
+                            open_[it] = [end - least + 1, end, matched]
+                rows += [(key, it, *span) for it, span in open_.items()]
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    live = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).cast("bigint"), text)
-    return live.mapInArrow(run, "doc_id bigint, item_id bigint, first_word int, last_word int, n_words int")
+        return live.mapInArrow(run, "doc_id bigint, item_id bigint, first_word int, last_word int, n_words int")
+
+    parts, found = _parts(automata), spark.createDataFrame([], "doc_id bigint, item_id bigint, first_word int, last_word int, n_words int")
+    for part in parts:
+        shared = _Shared(spark, automata, part)
+        if len(parts) == 1:
+            return scan(shared)
+        found = found.unionByName(written(scan(shared), "spans"))
+        shared.of.destroy()
+    return found
 
 
-def without_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, most_share: float = 0.5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def without_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, most_share: float = 0.5, doc: str = "doc_id", text: str = "text", part_words: int = PART_WORDS) -> DataFrame:
     """(doc_id, clean_text, n_words, n_leaked, dropped): spans of ``least`` or more shared words cut out.
 
     ``dropped`` is true, and clean_text null, if more than ``most_share`` of the words were shared.
     A cut runs from the first character of its first word to the last of its last.  Null texts stay null.
+    Each part of the items adds its spans to the row, the last one cuts.
     """
     spark = documents.sparkSession
-    auto = spark.sparkContext.broadcast(build(items, least))
-    schema = pa.schema([("doc_id", pa.int64()), ("clean_text", pa.string()), ("n_words", pa.int32()), ("n_leaked", pa.int32()), ("dropped", pa.bool_())])
+    automata = item_parts(items, least, part_words=part_words)
 
-    def cleaned(sam: SuffixAutomaton, value: str) -> tuple[str | None, int, int, bool]:
+    def places(value: str) -> tuple[list[str], list[tuple[int, int]]]:
         # lower-casing can change the number of characters, so words are located in the text as it stands
-        places = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(value)]
         words, at = [], []
-        for a, b, w in places:
-            for x in _WORD.findall(w):
+        for m in _WORD.finditer(value):
+            for x in _WORD.findall(m.group().lower()):
                 words.append(x)
-                at.append((a, b))
+                at.append((m.start(), m.end()))
+        return words, at
+
+    def united(spans: list[list[int]]) -> list[list[int]]:
         cut: list[list[int]] = []
-        for end, matched, _ in sam.runs(words, least):
-            first = end - matched
-            while cut and cut[-1][0] >= first:
-                cut.pop()
-            if cut and cut[-1][1] >= first:
-                cut[-1][1] = end
+        for a, b in sorted(spans):
+            if cut and cut[-1][1] >= a:
+                cut[-1][1] = max(cut[-1][1], b)
             else:
-                cut.append([first, end])
-        leaked = sum(b - a for a, b in cut)
-        if words and leaked > most_share * len(words):
-            return None, len(words), leaked, True
-        out, pos = [], 0
-        for a, b in cut:
-            out.append(value[pos : at[a][0]])
-            pos = at[b - 1][1]
-        return "".join([*out, value[pos:]]), len(words), leaked, False
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = auto.value
+                cut.append([a, b])
+        return cut
+
+    def marked(df: DataFrame, shared: _Shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sam = shared.value
+            for b in batches:
+                spans = []
+                for value, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    flat = [[end - matched, end] for end, matched, _ in sam.runs(places(value)[0], least)] if value is not None else []
+                    own = united([*map(list, zip(known[::2], known[1::2])), *flat])
+                    spans.append([x for s in own for x in s])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "text", "spans"])
+
+        return df.mapInArrow(run, "doc_id bigint, text string, spans array<int>")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("clean_text", pa.string()), ("n_words", pa.int32()), ("n_leaked", pa.int32()), ("dropped", pa.bool_())])
+
+        def cleaned(value: str, flat: list[int]) -> tuple[str | None, int, int, bool]:
+            words, at = places(value)
+            cut = list(zip(flat[::2], flat[1::2]))
+            leaked = sum(b - a for a, b in cut)
+            if words and leaked > most_share * len(words):
+                return None, len(words), leaked, True
+            out, pos = [], 0
+            for a, b in cut:
+                out.append(value[pos : at[a][0]])
+                pos = at[b - 1][1]
+            return "".join([*out, value[pos:]]), len(words), leaked, False
+
         for b in batches:
-            keys, values = b.column(0), b.column(1).to_pylist()
-            got = [(None, 0, 0, False) if v is None else cleaned(sam, v) for v in values]
-            yield pa.RecordBatch.from_arrays([keys, *[pa.array([g[i] for g in got], schema.field(i + 1).type) for i in range(4)]], schema=schema)
+            got = [(None, 0, 0, False) if v is None else cleaned(v, s) for v, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[i] for g in got], schema.field(i + 1).type) for i in range(4)]], schema=schema)
 
-    return documents.select(F.col(doc).cast("bigint").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, clean_text string, n_words int, n_leaked int, dropped boolean")
+    df = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.array().cast("array<int>").alias("spans"))
+    parts = _parts(automata)
+    for part in parts:
+        shared = _Shared(spark, automata, part)
+        df = marked(df, shared)
+        if part != parts[-1]:
+            df = written(df, "marked")
+            shared.of.destroy()
+    return df.mapInArrow(cut_out, "doc_id bigint, clean_text string, n_words int, n_leaked int, dropped boolean")
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, part_words: int = PART_WORDS) -> DataFrame:
     """Distinct (doc_id, item_id) sharing a run of at least ``least`` consecutive words."""
-    return leaked_spans(documents, items, least).select("doc_id", "item_id").distinct()
+    return leaked_spans(documents, items, least, part_words=part_words).select("doc_id", "item_id").distinct()

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 leakage = pytest.importorskip("palimpsest.llm.leakage")
 
@@ -30,7 +31,7 @@ def test_matches_brute_force(spark):
 def test_automaton_matching_lengths():
     rnd = random.Random(2)
     seqs = [[rnd.choice("ab") for _ in range(12)] for _ in range(6)]
-    sam = leakage.SuffixAutomaton(list(enumerate(seqs)))
+    sam = leakage.SuffixAutomaton(list(enumerate(seqs))).packed()
     text = [rnd.choice("abc") for _ in range(300)]
     got = {end: m for end, m, _ in sam.runs(text, 1)}
     for end in range(1, 301):
@@ -56,9 +57,34 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "item_id bigint, suite string, text string")
     assert leakage.leaked_items(d, e).collect() == []
     assert leakage.without_leaks(d, e).collect() == []
+    some = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
+    assert [r["clean_text"] for r in leakage.without_leaks(some, e).collect()] == ["some text"] and leakage.leaked_items(some, e).collect() == []
 
 
-def test_item_set_is_bounded(spark):
-    e = spark.createDataFrame([(1, "s", "word " * 100)], "item_id bigint, suite string, text string")
-    with pytest.raises(ValueError):
-        leakage.build(e, most_words=10)
+def test_items_in_parts(spark):
+    """Parts of a hundred words give what one part gives, long items included."""
+    rnd = random.Random(4)
+    items = [[f"w{rnd.randint(0, 30)}" for _ in range(rnd.choice([5, 20, 45, 400]))] for _ in range(30)]
+    docs = []
+    for i in range(60):
+        it = rnd.choice(items)
+        a = rnd.randint(0, len(it))
+        docs.append([f"w{rnd.randint(0, 30)}" for _ in range(20)] + it[a : a + rnd.randint(3, 90)] + ["end"])
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)] + [(99, None)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(i, "s", " ".join(x)) for i, x in enumerate(items)], "item_id bigint, suite string, text string")
+    assert leakage.item_parts(e, 6, part_words=500).count() > 4
+    pairs = lambda n: {(r[0], r[1]) for r in leakage.leaked_spans(d, e, 6, part_words=n).select("doc_id", "item_id").collect()}
+    assert pairs(500) == pairs(1_000_000) == {(i, j) for i, x in enumerate(docs) for j, y in enumerate(items) if shares(x, y, 6)}
+    clean = lambda n: {tuple(r) for r in leakage.without_leaks(d, e, 6, part_words=n).collect()}
+    assert clean(500) == clean(1_000_000) and len(clean(500)) == 61
+
+
+def test_sixty_million_characters_of_items(spark):
+    """Several parts of full size; every part finds its own."""
+    n, size = 100, 10_000  # 1 M words of 59 characters and a blank
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.lpad(F.abs(F.xxhash64("id", i)).cast("string"), 59, "w")), " ")
+    e = spark.range(0, n, 1, 8).select(F.col("id").alias("item_id"), F.lit("s").alias("suite"), F.lower(words).alias("text"))
+    d = e.where("item_id % 10 = 3").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before "), F.substring("text", 30_001, 719), F.lit(" after")).alias("text"))
+    assert e.agg(F.sum(F.length("text"))).first()[0] > 59_999_000 and leakage.item_parts(e).count() >= 4
+    got = {tuple(r) for r in leakage.leaked_items(d, e).collect()}
+    assert got == {(i, i) for i in range(3, n, 10)}
