@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 ORDER = 5
 SAMPLE_DOCS = 300  # labelled rows a language, the bound of the training sample
-SAMPLE_CHARS = 20_000  # of each
 ROUNDS = 3
 LEAST_WORDS = 8
 LEAST_CONFIDENCE = 0.9
@@ -241,14 +240,14 @@ def scored_words(plain: str) -> list[str]:
 
 
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER, text: str = "text", lang: str = "lang", doc: str = "doc_id") -> LanguageModels:
-    """Models from a bounded sample of labelled rows: ``sample_docs`` rows a language, by hash of the id.
+    """Models from a bounded sample of labelled rows: ``sample_docs`` rows a language, by hash of the id, each text whole.
 
     Some labels are wrong and some texts mixed: see ``clean_models``.
     """
     names = sorted(_NAMES)
     base = F.regexp_extract(F.lower(F.trim(lang)), "^([a-z]+)", 1)
     code = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(_NAMES[n]))])[base]
-    pool = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(code.alias("code"), F.xxhash64(doc).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("text")).where("code IS NOT NULL")
+    pool = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(code.alias("code"), F.xxhash64(doc).alias("h"), F.col(text).alias("text")).where("code IS NOT NULL")
     # row_number below a constant: each task keeps sample_docs rows a language before the shuffle
     ranked = pool.withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy("h", "text"))).where(F.col("rn") <= sample_docs)
     return clean_models([(r["code"], i % 2, scored_words(p)) for i, r in enumerate(sorted(ranked.select("code", "h", "text").collect(), key=lambda r: (r["code"], r["h"]))) for _, _, _, p in sentences(r["text"])], order)
