@@ -44,6 +44,9 @@ class OpenBins:
         return bin_
 
     def place(self, size: int) -> tuple[int, int]:
+        if size == self.capacity:  # full at once, needs no open bin
+            self.made += 1
+            return self.made - 1, 0
         fitting = self.free_bits >> size
         if fitting:
             free = size + (fitting & -fitting).bit_length() - 1

@@ -51,6 +51,11 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     assert bins.place(6) == (0, 4)
 
 
+def test_an_item_of_exactly_the_capacity_closes_no_bin():
+    bins = packing.OpenBins(10, 1)
+    assert [bins.place(n) for n in (6, 10, 4)] == [(0, 0), (1, 0), (0, 6)] and bins.made == 2
+
+
 def test_empty_and_repeated(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens bigint")).collect() == []
     rows = packing.pack(spark.createDataFrame([(1, 5), (1, 5), (None, 5)], "doc_id bigint, n_tokens bigint"), 10).collect()
