@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.current import current_rows
-from ..sources.scratch import written
+from ..sources.scratch import discard, written
 
 ENTRY_ID = "^[ML]-[0-9a-f]{8}$"
 MAX_ROUNDS = 200
@@ -53,13 +53,15 @@ def connected_components(pairs: DataFrame, seed: int = 20_240_101) -> DataFrame:
         hook = written(hooks(edges, seed + len(levels)), "hooks")
         levels.append(hook)
         relabelled = edges.join(hook.toDF("u", "ru"), "u").join(hook.toDF("v", "rv"), "v")
-        edges = written(undirected(relabelled, "ru", "rv"), "edges")
+        done, edges = edges, written(undirected(relabelled, "ru", "rv"), "edges")
+        discard(done)
     if not levels:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
     found = levels[-1].toDF("node", "root")
     for hook in reversed(levels[:-1]):
-        above = found.toDF("rep", "root")
+        done, above = found, found.toDF("rep", "root")
         found = written(hook.join(above, "rep", "left").select("node", F.coalesce("root", "rep").alias("root")), "roots")
+        discard(hook, levels[-1], done)
     return found
 
 
