@@ -60,11 +60,11 @@ def queue_changes(queue: DataFrame) -> DataFrame:
     as NOTHING, so that its entry counts as one with a record.  An unreadable payload is an empty one.  A
     null queue_id counts as 0.
     """
-    p = F.from_json("payload", PAYLOAD)
-    name = F.lower(F.trim("op"))
+    queue = queue.where("namespace IS NOT NULL AND entry_id IS NOT NULL").select("queue_id", "namespace", "entry_id", "op", "revision", F.from_json("payload", PAYLOAD).alias("p"))
+    p, name = F.col("p"), F.lower(F.trim("op"))
     op = F.when((name == "delete") | p["pending_delete"], DELETE).when(name == "insert", INSERT).when(name == "update", UPDATE).otherwise(NOTHING)
     whole = F.col("revision.sync_seq").isNotNull()
-    return queue.where("namespace IS NOT NULL AND entry_id IS NOT NULL").select(
+    return queue.select(
         "namespace", F.col("entry_id").alias("id"), op.cast("int").alias("op"), F.when(whole, F.col("revision.sync_seq")).alias("seq"),
         F.when(whole, F.col("revision.sync_hash")).alias("hash"), F.coalesce(p["vector_clock"], F.create_map().cast(CLOCK)).alias("clock"), F.coalesce("queue_id", F.lit(0).cast("bigint")).alias("queue_id"),
         p["content"].alias("content"), p["importance"].alias("importance"), p["status"].alias("status"), iso_instant(p["updated_at"]).alias("updated_at"),
