@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .ranking import ranked
 
 MAX_QUERY_CELLS = 8_000_000  # numbers of one broadcast slice of queries (64 MB)
@@ -35,14 +37,18 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine")
     if not stats["n"]:
         return queries.select("query_id", F.lit(0).cast("bigint").alias("row_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rk")).limit(0)
     slices = -(-stats["n"] * stats["dim"] // MAX_QUERY_CELLS)
-    parts = [_nearest_slice(sized.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i), rows, k, metric) for i in range(slices)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = None
+    for i in range(slices):  # one slice at a time on the driver and in the executors
+        own = sized.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        part, shared = _nearest_slice(own, rows, k, metric)
+        if slices > 1:
+            part = written(part, "nearest")
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
     return ranked(found, ["row_id"], k)
 
 
-def _nearest_slice(queries: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
+def _nearest_slice(queries: DataFrame, rows: DataFrame, k: int, metric: str) -> tuple[DataFrame, Broadcast]:
     got = queries.collect()
     by_dim: dict[int, tuple[list, np.ndarray]] = {}
     for dim in {len(r["vector"]) for r in got}:
@@ -75,7 +81,7 @@ def _nearest_slice(queries: DataFrame, rows: DataFrame, k: int, metric: str) ->
             qid = np.repeat(np.array(shared.value[dim][0], dtype=np.int64), s.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(keys.ravel()), pa.array(s.ravel())], schema=schema)
 
-    return rows.select(F.col("row_id").cast("bigint"), "vector").mapInArrow(run, "query_id bigint, row_id bigint, score double")
+    return rows.select(F.col("row_id").cast("bigint"), "vector").mapInArrow(run, "query_id bigint, row_id bigint, score double"), shared
 
 
 def similarity_join(df: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
@@ -106,8 +112,6 @@ def similarity_join(df: DataFrame, threshold: float, block_rows: int = BLOCK_ROW
             out = [b.column(0), pa.array(p.astype(np.int32)), pa.array(np.arccos(cos[np.arange(len(p)), p])), pa.array(m.tolist(), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(out, names=["row_id", "pivot", "angle", "unit"]).filter(pa.array(ok))
 
-    from ..sources.scratch import written
-
     placed = written(live.mapInArrow(place, "row_id bigint, pivot int, angle double, unit array<double>"), "placed")
     cells = {r["pivot"]: (r["n"], r["far"]) for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("far")).collect()}
     gap = np.arccos(np.clip(chosen @ chosen.T, -1, 1))

@@ -155,9 +155,9 @@ f AS (SELECT query_id, namespace, id, score / max(score) OVER (PARTITION BY quer
 j AS (SELECT q.query_id, rc.namespace, rc.id, round(0.7 * coalesce(f.rel, 0) + 0.3 * rc.rec, 6) AS score, f.rk FROM (SELECT DISTINCT query_id FROM bm) q CROSS JOIN rc LEFT JOIN f ON f.query_id = q.query_id AND f.namespace = rc.namespace AND f.id = rc.id)
 SELECT query_id, namespace, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rk NULLS LAST, namespace, id) AS rn FROM j) WHERE rn <= 10""")
 def r9_recency_blend(spark, d):
-    rec = ranking.recency_ranking(entries(spark, d, "valid_from", "created_at"), KEY, F.expr(NOW))
-    j = ranking.blend_recency(_bm25(spark, d), rec, KEY, 0.3)
-    return j.where("rk <= 10").select("query_id", *KEY, F.round("score", 6).alias("score"))
+    rec = ranking.recency_scores(entries(spark, d, "valid_from", "created_at"), KEY, F.expr(NOW))
+    j = ranking.blend_recency(_bm25(spark, d), rec, KEY, 0.3, 10)
+    return j.select("query_id", *KEY, F.round("score", 6).alias("score"))
 
 
 HYBRID = BM25 + _IMPORTANT + f""", u AS (SELECT query_id, namespace, id, rk FROM bm WHERE rk <= 50 UNION ALL SELECT query_id, namespace, id, rk FROM im),
@@ -173,11 +173,9 @@ def hybrid(spark, d):
     """Keyword and importance lists fused, closed and inactive rows dropped, distilled rows weighed, newer first among equals."""
     fused = ranking.rrf(_two_lists(spark, d), KEY).withColumn("score", F.round("score", 9))
     e = entries(spark, d, "status", "valid_from", "created_at", "invalid_from", "source", "content", "detail").where("status = 'active'")
-    j = policy.validity_prior(fused.join(e, KEY), F.expr(NOW), drop=True)
-    family = F.when(F.col("source") == "consolidation", "git_distilled").otherwise("unknown")
-    weighed = j.withColumn("score", F.round(F.when(family == "git_distilled", F.col("score") * 0.75).otherwise(F.col("score")), 9))
-    weighed = weighed.withColumn("valid_from", F.coalesce("valid_from", "created_at"))
-    return ranking.ranked(weighed.drop("rk"), KEY, None, [F.desc("valid_from")])
+    j = policy.validity_prior(fused.join(e, KEY), F.expr(NOW), drop=True).withColumn("fused", F.col("score"))
+    j = j.withColumn("family", F.when(F.col("source") == "consolidation", "git_distilled").otherwise("unknown")).withColumn("valid_from", F.coalesce("valid_from", "created_at"))
+    return ranking.weight_distilled(j, KEY, F.col("family"), ties=[F.desc("valid_from")])
 
 
 @book.add(HYBRID + "SELECT query_id, namespace, id, round(score, 6) AS score, rk FROM rr WHERE rk <= 10")
@@ -233,18 +231,6 @@ def r18_fallback(spark, d):
     return e.select(*KEY, F.round(F.least(F.lit(1.0), F.col("hits") / F.size("w") * 10) * 0.7 + F.coalesce("importance", F.lit(0.0)) * 0.3, 6).alias("score"))
 
 
-@book.add(BM25 + "SELECT query_id, count(*) AS n FROM met GROUP BY 1")
-def r19_candidates(spark, d):
-    q = _queries(spark, d).select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    p = _docs(spark, d).select(*KEY, F.explode(F.array_distinct("tokens")).alias("term"))
-    return p.join(q, "term").groupBy("query_id", *KEY).agg(F.count(F.lit(1)).alias("common")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@book.add("{E} SELECT namespace, id, CAST(round_even(len(list_filter(regexp_split_to_array(content, '[\\s\\p{Z}]+'), lambda z: z <> '')) * 1.3, 0) AS bigint) AS cost FROM entries".replace("\\\\", "\\"))
-def r26_token_cost(spark, d):
-    return entries(spark, d, "content").select(*KEY, tx.token_cost(F.col("content")).alias("cost"))
-
-
 def queries() -> dict:
     return book.queries
 

@@ -46,9 +46,36 @@ def test_fusion_by_hand(spark):
 
 def test_recency_blend_keeps_all(spark):
     fused = spark.createDataFrame([(0, "a", 2.0, 1), (0, "b", 1.0, 2)], "query_id int, id string, score double, rk int")
-    recent = spark.createDataFrame([(0, "c", 1.0, 1), (0, "b", 0.5, 2), (0, "a", 0.0, 3)], "query_id int, id string, score double, rk int")
-    got = [(r["id"], round(r["score"], 6)) for r in ranking.blend_recency(fused, recent, ["id"], 0.4).orderBy("rk").collect()]
-    assert got == [("a", 0.6), ("b", 0.5), ("c", 0.4)]
+    recent = spark.createDataFrame([("c", 1.0), ("b", 0.5), ("a", 0.0), ("d", 0.75), ("e", 0.75)], "id string, score double")
+    got = lambda k: [(r["id"], round(r["score"], 6)) for r in ranking.blend_recency(fused, recent, ["id"], 0.4, k).orderBy("rk").collect()]
+    assert got(5) == [("a", 0.6), ("b", 0.5), ("c", 0.4), ("d", 0.3), ("e", 0.3)] and got(3) == got(5)[:3]
+    alone = spark.createDataFrame([(0,), (7,)], "query_id int")
+    more = ranking.blend_recency(fused, recent, ["id"], 0.4, 2, alone).where("query_id = 7").orderBy("rk").collect()
+    assert [(r["id"], round(r["score"], 6)) for r in more] == [("c", 0.4), ("d", 0.3)]
+    assert ranking.blend_recency(fused.limit(0), recent, ["id"], 0.4, 2).collect() == []
+
+
+def test_blocks_and_slices_change_nothing(spark):
+    rnd = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(30)]
+    texts = {f"d{i:03}": " ".join(rnd.choice(words, rnd.integers(0, 12))) for i in range(300)}
+    d = docs(spark, texts).unionByName(spark.createDataFrame([("none", None)], "id string, tokens array<string>")).repartition(5)
+    q = queries(spark, *[" ".join(rnd.choice([*words, "absent"], 5)) for _ in range(20)], "", "absent")
+    rows = lambda **kw: {(r["query_id"], r["id"], round(r["score"], 6), r["rk"]) for r in ranking.bm25(q, d, ["id"], **kw).collect()}
+    whole = rows(top_k=None)
+    n, avgdl = 301, sum(len(t.split()) for t in texts.values()) / 301
+    df = {w: sum(w in t.split() for t in texts.values()) for w in words}
+    idf = {w: np.log(n - x + 0.5) - np.log(x + 0.5) for w, x in df.items()}
+    for r in q.collect():
+        want = {}
+        for k, t in texts.items():
+            own = t.split()
+            s = sum(idf[w] * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / avgdl)) for w in r["terms"] if w in own)
+            if s > 0:
+                want[k] = s
+        assert {k: s for i, k, s, _ in whole if i == r["query_id"]} == pytest.approx(want, abs=2e-6)
+    top = {x for x in whole if x[3] <= 7}
+    assert rows(top_k=7) == top == rows(top_k=7, query_terms=9, block_cells=64)
 
 
 def test_budget_floor_and_ties(spark):
