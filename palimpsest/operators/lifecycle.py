@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,32 +95,34 @@ def greedy_dedup(pairs: DataFrame, group: str = "namespace") -> DataFrame:
     return out if out is not None else pairs.select(group, F.col("b").alias("id"), F.col("a").alias("into")).limit(0)
 
 
-def complete_linkage(items: DataFrame, similar: Callable, group: str, least_size: int = 3) -> DataFrame:
-    """Clusters of a small group whose members are all similar, merged in pair order (i, j).
+def complete_linkage(pairs: DataFrame, group: str, least_size: int = 3) -> DataFrame:
+    """(group, cluster, id): clusters whose members are all similar, merged in the order of the pairs (a, b).
 
-    ``items`` has (group, position, vector); a cycle takes at most a few dozen rows a group, so one task
-    handles one group.  Returns (group, cluster, position).
+    ``pairs`` (group, a, b; a < b) are the similar ones.  Two clusters merge at a pair of theirs if every pair
+    across is similar.  Each merge depends on those before, so one task walks the similar pairs of one group (not
+    its rows squared).
     """
     import pandas as pd
 
     def run(pdf):
-        pdf = pdf.sort_values("position")
-        where = list(pdf["position"])
-        ok = similar(list(pdf["vector"]))
-        of = {i: i for i in range(len(where))}
-        members = {i: [i] for i in range(len(where))}
-        for i in range(len(where)):
-            for j in range(i + 1, len(where)):
-                a, b = of[i], of[j]
-                if a != b and ok[i][j] and all(ok[x][y] for x in members[a] for y in members[b]):
-                    for y in members.pop(b):
-                        members[a].append(y)
-                        of[y] = a
-        rows = [(pdf[group].iloc[0], n, where[x]) for n, c in enumerate(sorted(c for c in members.values() if len(c) >= least_size)) for x in sorted(c)]
-        return pd.DataFrame(rows, columns=[group, "cluster", "position"]).astype({"cluster": "int64", "position": "int64"})
-
-    kind = dict(items.dtypes)[group]
-    return items.groupBy(group).applyInPandas(run, f"`{group}` {kind}, cluster bigint, position bigint")
+        near: dict[int, set[int]] = {}
+        order = sorted(set(zip(pdf["a"].tolist(), pdf["b"].tolist())))
+        for a, b in order:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        of = {x: x for x in near}
+        members = {x: [x] for x in near}
+        for a, b in order:
+            p, q = of[a], of[b]
+            if p != q and all(near[x].issuperset(members[q]) for x in members[p]):
+                for x in members.pop(q):
+                    members[p].append(x)
+                    of[x] = p
+        rows = [(pdf[group].iloc[0], n, x) for n, c in enumerate(sorted(sorted(c) for c in members.values() if len(c) >= least_size)) for x in c]
+        return pd.DataFrame(rows, columns=[group, "cluster", "id"]).astype({"cluster": "int64", "id": "int64"})
+
+    kind = dict(pairs.dtypes)[group]
+    return pairs.select(group, "a", "b").groupBy(group).applyInPandas(run, f"`{group}` {kind}, cluster bigint, id bigint")
 
 
 def decay_pass(df: DataFrame, now: Column, cutoff_days: int = 90) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import graph, lifecycle, vectors
+from ..sources.scratch import written
 from .book import ENTRIES, Book, entries, table
 from .ranking import NOW, SQL_NOW, UTILITY, with_utility
 
@@ -159,13 +160,10 @@ def l4_greedy_dedup(spark, d):
 
 @book.add()
 def l5_complete_linkage(spark, d):
-    def similar(rows):
-        m = vectors.unit_rows(rows)
-        return (m @ m.T > 0.15).tolist()
-
-    newest = Window.partitionBy("label").orderBy(F.desc("row_id"))
-    v = _vectors(spark, d).withColumn("position", F.row_number().over(newest).cast("bigint")).where("position <= 50").select("label", "position", "vector")
-    return lifecycle.complete_linkage(v, similar, "label")
+    v = _vectors(spark, d)
+    label = lambda c: v.select(F.col("row_id").alias(c), F.col("label").alias(f"l{c}"))
+    pairs = vectors.similarity_join(v, 0.2).join(label("a"), "a").join(label("b"), "b").where("la = lb")
+    return lifecycle.complete_linkage(pairs.select(F.col("la").alias("label"), "a", "b"), "label")
 
 
 @book.add("""{E}, n AS (SELECT namespace, entry_id AS id, arg_max(payload, queue_id) AS p, arg_max(queue_id, queue_id) AS q FROM queue_records WHERE lower(op) = 'update' GROUP BY 1, 2)
@@ -204,16 +202,37 @@ def g2_tag_neighbours(spark, d):
     return graph.tag_neighbours(_tag_pairs(spark, d)).select("namespace", "root", "other", "weight")
 
 
-@book.add("""WITH t AS (SELECT DISTINCT namespace, file, entry_id FROM anchor_postings WHERE entry_id <> ''), thin AS (SELECT t.* FROM t JOIN (SELECT namespace, file FROM t GROUP BY 1, 2 HAVING count(*) <= 500) k USING (namespace, file))
-SELECT a.namespace, a.entry_id AS a, b.entry_id AS b, count(*) AS shared FROM thin a JOIN thin b ON a.namespace = b.namespace AND a.file = b.file AND a.entry_id < b.entry_id GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+# two learnings of one service, planted, as no two entries of the table share three files
+_PLANTED = [("planted", f, e) for e, fs in {"P-1": "abcd", "P-2": "bcde", "P-3": "cdef", "P-4": "ab"}.items() for f in fs]
+_PLANTED_SQL = "SELECT * FROM (VALUES " + ", ".join(str(x) for x in _PLANTED) + ") v(namespace, file, entry_id)"
+
+
+def _postings(spark, d):
+    return table(spark, d, "anchor_postings").where("entry_id <> ''").select("namespace", "file", "entry_id")
+
+
+@book.add("""WITH t AS (SELECT DISTINCT namespace, file, entry_id FROM anchor_postings WHERE entry_id <> '')
+SELECT a.namespace, a.entry_id AS a, b.entry_id AS b, count(*) AS shared FROM t a JOIN t b ON a.namespace = b.namespace AND a.file = b.file AND a.entry_id < b.entry_id GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def j4_shared_files(spark, d):
-    return graph.shared_files(table(spark, d, "anchor_postings").where("entry_id <> ''").select("namespace", "file", "entry_id"), 2)
+    return graph.shared_files(_postings(spark, d), 2)
+
 
+@book.add("WITH t AS (SELECT DISTINCT namespace, file, entry_id FROM anchor_postings WHERE entry_id <> '' UNION ALL " + _PLANTED_SQL + """)
+SELECT a.namespace, a.entry_id AS a, b.entry_id AS b, count(*) AS shared FROM t a JOIN t b ON a.namespace = b.namespace AND a.file = b.file AND a.entry_id < b.entry_id GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+def j4_three_files(spark, d):
+    planted = spark.createDataFrame(_PLANTED, "namespace string, file string, entry_id string")
+    return graph.shared_files(_postings(spark, d).unionByName(planted))
 
-@book.add("""{E}, t AS (SELECT DISTINCT namespace, file, entry_id FROM anchor_postings WHERE entry_id <> ''), thin AS (SELECT t.* FROM t JOIN (SELECT namespace, file FROM t GROUP BY 1, 2 HAVING count(*) <= 500) k USING (namespace, file))
-SELECT DISTINCT a.namespace, a.entry_id AS source_id, b.entry_id AS target_id, CAST(0.8 AS double) AS weight FROM thin a JOIN thin b ON a.namespace = b.namespace AND a.file = b.file AND a.entry_id < b.entry_id""")
+
+@book.add("""WITH t AS (SELECT DISTINCT namespace, file, entry_id FROM anchor_postings WHERE entry_id <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY namespace, file ORDER BY entry_id) AS at FROM t)
+SELECT DISTINCT s.namespace, s.entry_id AS source_id, t.entry_id AS target_id, CAST(0.8 AS double) AS weight FROM r s JOIN r t ON s.namespace = t.namespace AND s.file = t.file AND s.entry_id <> t.entry_id AND t.at <= 50 + CASE WHEN s.at <= 50 THEN 1 ELSE 0 END""")
 def g5_co_anchored(spark, d):
-    return graph.shared_files(table(spark, d, "anchor_postings").where("entry_id <> ''").select("namespace", "file", "entry_id"), 1).select("namespace", F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit(0.8).alias("weight"))
+    return graph.co_anchored(_postings(spark, d))[0]
+
+
+@book.add("""WITH t AS (SELECT namespace, file, count(DISTINCT entry_id) AS entries FROM anchor_postings WHERE entry_id <> '' GROUP BY 1, 2) SELECT *, entries * (entries - 51) AS left_out FROM t WHERE entries > 51""")
+def g5_left_out(spark, d):
+    return graph.co_anchored(_postings(spark, d))[1]
 
 
 @book.add("{E}, x AS (SELECT DISTINCT namespace, id AS source_id, unnest(merged_from) AS target_id FROM entries) SELECT x.* FROM x JOIN entries e ON e.namespace = x.namespace AND e.id = x.target_id WHERE source_id <> target_id")
@@ -248,7 +267,7 @@ def g1_bfs(spark, d):
     return graph.bfs(_edges(spark, d), _roots(spark, d), 2, ["similarity", "related_to", "supersedes"], active).select("namespace", "root", "node", "depth", "edge_type")
 
 
-@book.add("WITH " + _EDGES + ", " + _ROOTS + """, e2 AS (SELECT *, weight * CASE edge_type WHEN 'consolidation' THEN 0.3 WHEN 'supersedes' THEN 0.2 WHEN 'similarity' THEN 0.15 WHEN 'tag_cooccurrence' THEN 0.1 WHEN 'related_to' THEN 0.1 ELSE 0 END AS rate FROM ed),
+@book.add("WITH " + _EDGES + ", " + _ROOTS + """, e2 AS (SELECT *, weight * CASE edge_type WHEN 'evidence_for' THEN 0.3 WHEN 'co_anchored' THEN 0.2 WHEN 'same_root_cause' THEN 0.15 WHEN 'related_to' THEN 0.1 WHEN 'depends_on' THEN 0.1 ELSE 0 END AS rate FROM ed),
 ok AS (SELECT * FROM e2 WHERE rate > 0),
 l1 AS (SELECT r.namespace, r.root, o.target_id AS node, arg_min(0.2 * o.rate, (o.edge_type, o.id)) AS delta FROM ro r JOIN ok o ON o.namespace = r.namespace AND o.source_id = r.root WHERE o.target_id <> r.root GROUP BY 1, 2, 3),
 l2 AS (SELECT f.namespace, f.root, o.target_id AS node, arg_min(f.delta * o.rate, (o.edge_type, o.id)) AS delta FROM l1 f JOIN ok o ON o.namespace = f.namespace AND o.source_id = f.node
@@ -261,7 +280,32 @@ def g7_propagate(spark, d):
 
 @book.add()
 def g8_dense_clusters(spark, d):
-    return graph.dense_clusters(_edges(spark, d), 3)
+    found = written(graph.dense_clusters(table(spark, d, "memory_graph_edges")), "clusters")
+    named = graph.cluster_domains(found, entries(spark, d, "tags")).select("namespace", "cluster", "domain")
+    return found.join(named, ["namespace", "cluster"])
+
+
+@book.add("""{E}, c AS (SELECT namespace, id FROM entries WHERE list_contains(tags, 'canary-index')),
+l AS (SELECT DISTINCT e.namespace, e.id AS source_id, m.id AS target_id, 'consolidation' AS edge_type, CAST(1.0 AS double) AS weight FROM (SELECT namespace, id, unnest(merged_from) AS o FROM entries) e JOIN entries m ON m.namespace = e.namespace AND m.id = e.o WHERE e.id <> m.id),
+t AS (SELECT DISTINCT namespace, file, entry_id FROM anchor_postings WHERE entry_id <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY namespace, file ORDER BY entry_id) AS at FROM t),
+co AS (SELECT DISTINCT s.namespace, s.entry_id AS source_id, t.entry_id AS target_id, 'co_anchored' AS edge_type, CAST(0.8 AS double) AS weight FROM r s JOIN r t ON s.namespace = t.namespace AND s.file = t.file AND s.entry_id <> t.entry_id AND t.at <= 50 + CASE WHEN s.at <= 50 THEN 1 ELSE 0 END),
+u AS (SELECT * FROM l UNION ALL SELECT * FROM co)
+SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.namespace = u.namespace AND (c.id = u.source_id OR c.id = u.target_id))""")
+def g10_enriched(spark, d):
+    e = entries(spark, d, "merged_from", "tags")
+    return graph.enriched(e, _postings(spark, d), e.where(F.array_contains("tags", "canary-index")))
+
+
+_VALIDATED = """v AS (SELECT vec_id AS row_id, 'p' || label AS project, (vec_id % 100) / 100.0 AS importance, embedding::double[] AS v FROM embeddings),
+m AS (SELECT a.row_id, b.project, max(round(list_cosine_similarity(a.v, b.v), 9)) AS similarity FROM v a JOIN v b ON a.project <> b.project AND round(list_cosine_similarity(a.v, b.v), 9) > 0.4 GROUP BY 1, 2)"""
+
+
+@book.add("WITH " + _VALIDATED + ", n AS (SELECT row_id, count(*) AS n FROM m GROUP BY 1) SELECT v.row_id, round(least(importance + 0.05 * n, 1.0), 6) AS importance, n AS n_events FROM v JOIN n ON n.row_id = v.row_id")
+def g6_cross_validation(spark, d):
+    v = _vectors(spark, d)
+    rows = v.select("row_id", F.concat(F.lit("p"), "label").alias("project"), (F.col("row_id") % 100 / 100.0).alias("importance"), F.array().cast("array<string>").alias("history"))
+    boosted = graph.cross_validations(vectors.similarity_join(v, 0.4), rows)[1]
+    return boosted.select("row_id", F.round("importance", 6).alias("importance"), F.size("history").cast("bigint").alias("n_events"))
 
 
 def queries() -> dict:
