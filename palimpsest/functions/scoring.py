@@ -17,7 +17,8 @@ FALLBACK_DAYS = 30
 TIER_DISCOUNT = {"critical": 0.25, "high": 0.5, "normal": 1.0, "low": 1.5}
 EXEMPT_TIERS = ["protected", "permanent"]
 
-# Target precision -> threshold by anchor of the calibrated encoder.
+# Threshold of the reference encoder, the same for the calibrated encoder.
+ANCHORS = [(-1.0, -1.0), (0.0, 0.495), (0.5, 0.745), (0.75, 0.89), (0.85, 0.89), (0.90, 0.945), (0.92, 0.955), (0.95, 0.98), (1.0, 1.0)]
 LN2 = math.log(2.0)
 
 
@@ -91,6 +92,11 @@ def piecewise_linear(x: Column, knots: list[tuple[float, float]]) -> Column:
     return F.round(F.when(x <= knots[0][0], F.lit(knots[0][1])).otherwise(out), 4)
 
 
+def calibrated_threshold(threshold: Column) -> Column:
+    """A threshold of the reference encoder on the scale of the calibrated one; beyond [-1, 1] as it stands."""
+    return F.when(threshold.between(-1.0, 1.0), piecewise_linear(threshold, ANCHORS)).otherwise(threshold)
+
+
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Wilson 95 % interval of a share."""
     p = successes / n

@@ -141,3 +141,32 @@ def token_cost(text: Column) -> Column:
 def serialized_tokens(row: Column) -> Column:
     """A quarter of the characters of the row as JSON, at least 1."""
     return F.greatest(F.lit(1), F.floor(F.length(F.to_json(row)) / 4)).cast("bigint")
+
+
+def passage(content: Column, detail: Column, tags: Column, most: int = 2048) -> Column:
+    """Content, detail and tags in one text of at most ``most`` characters, as a reranker reads it."""
+    return F.left(F.concat_ws(" ", content, F.nullif(detail, F.lit("")), F.nullif(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " "), F.lit(""))), F.lit(most))
+
+
+def valid_namespace(name: Column) -> Column:
+    """``global``, ``default`` or a known scope with a plain name, 128 characters at most; blanks are not stripped."""
+    return F.coalesce((F.length(name) <= 128) & name.rlike(r"\A(?:(?:project|team|org|user):[a-zA-Z0-9_-]+|global|default)\z"), F.lit(False))
+
+
+def namespace_path(name: Column) -> Column:
+    """The folder of a valid namespace, null for others."""
+    return F.when(valid_namespace(name), F.replace(name, F.lit(":"), F.lit("/")))
+
+
+def project_slug(path: Column) -> Column:
+    """The last step of a path as lower-case letters, digits and single hyphens, 32 characters at most; ``root`` if none are left."""
+    last = F.lower(F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1))
+    slug = F.regexp_replace(F.regexp_replace(last, "[^a-z0-9-]+", "-"), "-{2,}", "-")
+    bare = lambda c: F.regexp_replace(c, "^-+|-+$", "")
+    return F.coalesce(F.nullif(bare(F.left(bare(slug), F.lit(32))), F.lit("")), F.lit("root"))
+
+
+def slug_of(namespace: Column) -> Column:
+    """The slug of ``project:<slug>-<digest>``, or null."""
+    got = F.regexp_extract(namespace, r"\Aproject:(.+)-[^-]*\z", 1)
+    return F.when(got != "", got)
