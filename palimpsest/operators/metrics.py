@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import wilson
+from .order import positions
 
 
 def reliability(df: DataFrame, probability: str, correct: str, bins: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -70,12 +71,18 @@ def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles by index floor(n * p) of the sorted values (the last at most), and the median."""
-    w = Window.partitionBy(*group).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
-    picks = [F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*group).agg(*picks, F.percentile(value, 0.5).alias("median"))
+    """Percentiles by index floor(n * p) of the sorted values (the last at most), and the median.
+
+    Values get their place by range partitions, whatever the number of groups; only the picked ones are read.
+    Null values and groups do not count.
+    """
+    live = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*group, value])).select(*group, value)
+    placed = positions(live.withColumn("_t", F.monotonically_increasing_id()), [*group, value, "_t"], "_i")  # _t: equal values may part
+    sizes = placed.groupBy(*group).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    at = F.col("_i") - F.col("_first")
+    picks = [F.max(F.when(at == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value))).alias(name) for name, p in shares.items()]
+    middle = F.avg(F.when((at == F.floor((F.col("_n") - 1) / 2)) | (at == F.floor(F.col("_n") / 2)), F.col(value))).alias("median")
+    return placed.join(sizes, group).groupBy(*group).agg(*picks, middle)
 
 
 def paired_differences(df: DataFrame, a: str, b: str) -> DataFrame:

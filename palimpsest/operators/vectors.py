@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .order import positions
 from .ranking import ranked
 
 MAX_QUERY_CELLS = 8_000_000  # numbers of one broadcast slice of queries (64 MB)
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 4096  # rows a pivot stands for at least
+PRODUCT_CELLS = 8_000_000  # cosines held at once
 PIVOTS = 64
 
 
@@ -84,22 +86,26 @@ def _nearest_slice(queries: DataFrame, rows: DataFrame, k: int, metric: str) ->
     return rows.select(F.col("row_id").cast("bigint"), "vector").mapInArrow(run, "query_id bigint, row_id bigint, score double"), shared
 
 
-def similarity_join(df: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+def similarity_join(df: DataFrame, threshold: float, slice_cells: int = MAX_QUERY_CELLS, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(a, b, score), a < b: all pairs of rows (row_id, vector) with cosine above ``threshold``, exact.
 
-    At most ``pivots`` cells, of about ``block_rows`` rows or more each.
-
-    Rows go to the nearest of a bounded sample of pivots and there into blocks of bounded size.  Angles
-    obey the triangle inequality, so two pivots further apart than both radii and the threshold's angle
-    cannot share a pair: their blocks never meet.  Every pair of blocks that may share one is a matrix
-    product in a task of its own.  Null and zero vectors pair with nothing.
+    Rows lie in the order of the nearest of a bounded sample of pivots.  One slice of them after the other, of
+    bounded size, is broadcast, and every other row meets it where it is read: nothing is copied or shuffled,
+    and a pass reads only the pivots that may share a pair with the slice.  Angles obey the triangle inequality,
+    so two pivots further apart than both radii and the threshold's angle cannot.  Null and zero vectors pair
+    with nothing, vectors of different sizes neither.
     """
     live = df.where("vector IS NOT NULL").select(F.col("row_id").cast("bigint").alias("row_id"), "vector")
-    total = live.count()
-    none = "a bigint, b bigint, score double"
-    if total == 0:
-        return df.sparkSession.createDataFrame([], none)
-    pivots = min(pivots, max(1, total // block_rows))
+    found = None
+    for size in sorted(r[0] for r in live.select(F.size("vector")).distinct().collect() if r[0]):
+        own = _similarity_join(live.where(F.size("vector") == size), size, threshold, slice_cells, block_rows, pivots)
+        found = own if found is None else found.unionByName(own)
+    return found if found is not None else df.sparkSession.createDataFrame([], "a bigint, b bigint, score double")
+
+
+def _similarity_join(live: DataFrame, dim: int, threshold: float, slice_cells: int, block_rows: int, pivots: int) -> DataFrame:
+    spark = live.sparkSession
+    pivots = min(pivots, max(1, live.count() // block_rows))
     chosen = unit_rows([r["vector"] for r in live.orderBy(F.xxhash64("row_id")).limit(pivots).collect()])
     theta = math.acos(max(-1.0, min(1.0, threshold)))
 
@@ -109,41 +115,41 @@ def similarity_join(df: DataFrame, threshold: float, block_rows: int = BLOCK_ROW
             cos = np.clip(m @ chosen.T, -1, 1)
             p = cos.argmax(axis=1)
             ok = np.abs(m).sum(axis=1) > 0
-            out = [b.column(0), pa.array(p.astype(np.int32)), pa.array(np.arccos(cos[np.arange(len(p)), p])), pa.array(m.tolist(), pa.list_(pa.float64()))]
+            out = [b.column(0), pa.array(p.astype(np.int32)), pa.array(np.arccos(cos[np.arange(len(p)), p])), pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), dim).cast(pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(out, names=["row_id", "pivot", "angle", "unit"]).filter(pa.array(ok))
 
-    placed = written(live.mapInArrow(place, "row_id bigint, pivot int, angle double, unit array<double>"), "placed")
+    placed = positions(live.mapInArrow(place, "row_id bigint, pivot int, angle double, unit array<double>"), ["pivot", "row_id"], "at")
     cells = {r["pivot"]: (r["n"], r["far"]) for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("far")).collect()}
     gap = np.arccos(np.clip(chosen @ chosen.T, -1, 1))
-    chunks = {p: max(1, -(-n // block_rows)) for p, (n, _) in cells.items()}
-    meet: dict[int, list[int]] = {p: [] for p in cells}
-    for p in cells:
-        for q in cells:
-            if p <= q and gap[p, q] - cells[p][1] - cells[q][1] <= theta + 1e-9:
-                meet[p].append(q)
-                if p != q:
-                    meet[q].append(p)
-    # a row joins the block pair (own block, other block) for every block that may hold a partner
-    table = df.sparkSession.createDataFrame([(p, chunks[p], q, chunks[q]) for p, qs in meet.items() for q in qs], "pivot int, own_chunks int, other int, other_chunks int")
-    spread = placed.withColumn("h", F.xxhash64("row_id")).join(F.broadcast(table), "pivot").withColumn("chunk", F.pmod("h", "own_chunks").cast("int"))
-    spread = spread.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("other_chunks") - 1)))
-    own, other = F.struct(F.col("pivot").alias("p"), F.col("chunk").alias("c")), F.struct(F.col("other").alias("p"), F.col("other_chunk").alias("c"))
-    keyed = spread.select(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), (own == F.least(own, other)).alias("low"), "row_id", "unit")
-
-    def pairs(key, pdf):
-        import pandas as pd
-
-        left, right = pdf[pdf["low"]], pdf[~pdf["low"]]
-        same = key[0] == key[1]
-        if same:
-            right = left
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64"})
-        s = np.round(np.vstack(left["unit"]) @ np.vstack(right["unit"]).T, 9)
-        i, j = np.nonzero(s > threshold)
-        a, b, score = left["row_id"].to_numpy()[i], right["row_id"].to_numpy()[j], s[i, j]
-        keep = a < b if same else a != b
-        a, b, score = a[keep], b[keep], score[keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
-
-    return keyed.groupBy("lo", "hi").applyInPandas(pairs, none)
+    rows, total = max(1, slice_cells // dim), sum(n for n, _ in cells.values())
+    none = "a bigint, b bigint, score double"
+    out = spark.createDataFrame([], none)
+    for start in range(0, total, rows):
+        part = placed.where((F.col("at") >= start) & (F.col("at") < start + rows)).select("row_id", "unit", "pivot").toArrow()
+        ids, units = part["row_id"].to_numpy(), part["unit"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        held = set(part["pivot"].unique().to_pylist())
+        near = [p for p in cells if any(gap[p, q] - cells[p][1] - cells[q][1] <= theta + 1e-9 for q in held)]
+        shared = spark.sparkContext.broadcast((ids, units))
+        met = placed.where(F.col("pivot").isin(near)).select("row_id", "unit").mapInArrow(_meet(shared, dim, threshold), none)
+        if total <= rows:
+            return met
+        out = out.unionByName(written(met, "pairs"))
+        shared.destroy()
+    return out
+
+
+def _meet(shared: Broadcast, dim: int, threshold: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units = shared.value
+        step = max(1, PRODUCT_CELLS // len(ids))
+        for b in batches:
+            other, m = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, dim)
+            for k in range(0, len(other), step):
+                s = np.round(units @ m[k : k + step].T, 9)
+                i, j = np.nonzero((s > threshold) & (other[None, k : k + step] > ids[:, None]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other[k + j]), pa.array(s[i, j])], schema=schema)
+
+    return run

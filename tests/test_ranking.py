@@ -99,7 +99,7 @@ def test_expiry(spark):
     assert [out(x) for x in ("2024-02-12", "2024-02-11", "2024-02-11T23:59:59Z", "2024-02-12T00:00:00Z", "", None, "soon", "not a date at all")] == [False, True, True, False, False, False, False, False]
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(300, 8))
     m[1] = m[0] * 2
@@ -113,7 +113,11 @@ def test_vectors(spark):
         order = sorted(range(300), key=lambda j: (-cos[i, j], j))[:5]
         assert [got[i, k + 1] for k in range(5)] == order
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if cos[i, j] > 0.6}
-    pairs = vectors.similarity_join(rows.where("row_id < 900"), 0.6, block_rows=20, pivots=7)
-    found = [(r["a"], r["b"]) for r in pairs.collect()]
-    assert set(found) == want and len(found) == len(want)
+    for cells in (8 * 70, 1_000_000):
+        pairs = vectors.similarity_join(rows, 0.6, slice_cells=cells, block_rows=20, pivots=7)
+        found = [(r["a"], r["b"]) for r in pairs.collect()]
+        assert set(found) == want and len(found) == len(want)
+    sliced = {tuple(r) for r in vectors.nearest(q, rows, 5).collect()}
+    monkeypatch.setattr(vectors, "MAX_QUERY_CELLS", 8)
+    assert {tuple(r) for r in vectors.nearest(q, rows, 5).collect()} == sliced
     assert vectors.similarity_join(rows.limit(0), 0.5).collect() == [] and vectors.nearest(q.limit(0), rows, 3).collect() == []
