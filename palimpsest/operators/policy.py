@@ -100,10 +100,10 @@ def without_quarantined(df: DataFrame, ledger: DataFrame) -> DataFrame:
 def label_level(namespace: Column, tags: Column, stamp: Column, namespace_rules: Mapping[str, str], tag_rules: Mapping[str, str]) -> Column:
     """Confidentiality of a row as an index of LEVELS: the highest of every rule that applies.
 
-    ``team:*`` is at least team, ``user:*`` personal; an unknown stamp is sensitive.
+    Every row is at least team, ``user:*`` personal; an unknown stamp is sensitive.
     """
     n = {x: i for i, x in enumerate(LEVELS)}
-    floors = [F.when(namespace.startswith("team:"), n["team"]).when(namespace.startswith("user:"), n["personal"]).otherwise(0)]
+    floors = [F.when(namespace.startswith("user:"), n["personal"]).otherwise(n["team"])]
     floors += [F.when(namespace.like(glob.replace("*", "%")), n.get(level, n["sensitive"])).otherwise(0) for glob, level in namespace_rules.items()]
     floors += [F.when(F.coalesce(F.array_contains(tags, t), F.lit(False)), n.get(level, n["sensitive"])).otherwise(0) for t, level in tag_rules.items()]
     stamped = F.when(stamp.isNull() | (stamp == ""), 0)
@@ -112,6 +112,11 @@ def label_level(namespace: Column, tags: Column, stamp: Column, namespace_rules:
     return F.greatest(*floors, stamped.otherwise(n["sensitive"]))
 
 
+def admitted_to(level: Column, clearance: str) -> Column:
+    """A row of this level may go to a surface or sink of that clearance; a null level is sensitive."""
+    return F.coalesce(level, F.lit(LEVELS.index("sensitive"))) <= LEVELS.index(clearance)
+
+
 def team_expired(expires_at: Column, status: Column, now: Column) -> Column:
     """Inclusive; without an expiry the status decides."""
     return F.when(expires_at.isNotNull(), expires_at <= now).otherwise(F.coalesce(F.lower(status) == "expired", F.lit(False)))

@@ -77,9 +77,14 @@ def admit_remote(rows: DataFrame, namespaces: DataFrame) -> DataFrame:
     return rows.join(known, "namespace", "left").withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull()).drop("_known")
 
 
-def change_token(entries: DataFrame, by: str = "namespace") -> DataFrame:
-    """(namespace, n, last_us, last_seq): a token that moves with every change."""
-    return entries.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("updated_at")).alias("last_us"), F.max("sync_seq").alias("last_seq"))
+def change_token(entries: DataFrame, deletes: DataFrame | None = None, by: str = "namespace") -> DataFrame:
+    """(namespace, n, last_us, last_seq, delete_epoch): a token that moves with every change; ``deletes`` (namespace)
+    has a row for every deletion so far, as rows that are gone leave no other trace."""
+    token = entries.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("updated_at")).alias("last_us"), F.max("sync_seq").alias("last_seq"))
+    if deletes is None:
+        return token.withColumn("delete_epoch", F.lit(0).cast("bigint"))
+    epochs = deletes.groupBy(by).agg(F.count(F.lit(1)).alias("delete_epoch"))
+    return token.join(epochs, by, "left").withColumn("delete_epoch", F.coalesce("delete_epoch", F.lit(0)))
 
 
 def publishable(entries: DataFrame, least: float = 0.7) -> DataFrame:
