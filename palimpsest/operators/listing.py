@@ -136,6 +136,7 @@ def move_namespace(entries: DataFrame, source: str, destination: str, merge: boo
         if not there.isEmpty():
             raise ValueError(f"{destination} is not empty")
         return entries.withColumn("namespace", F.when(F.col("namespace") == source, F.lit(destination)).otherwise(F.col("namespace")))
-    taken = there.select("id").withColumn("_taken", F.lit(True))
-    j = entries.join(taken, "id", "left")
-    return j.withColumn("namespace", F.when((F.col("namespace") == source) & F.col("_taken").isNull(), F.lit(destination)).otherwise(F.col("namespace"))).select(*entries.columns)
+    mine, rest = entries.where(F.col("namespace") == source), entries.where(~F.coalesce(F.col("namespace") == source, F.lit(False)))
+    taken = there.select("id").withColumn("_taken", F.lit(True))  # only the source's rows meet the destination's
+    moved = mine.join(taken, "id", "left").withColumn("namespace", F.when(F.col("_taken").isNull(), F.lit(destination)).otherwise(F.col("namespace")))
+    return rest.unionByName(moved.select(*entries.columns))

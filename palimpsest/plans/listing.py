@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor_file, collapsed
 from ..functions.times import iso_instant
-from ..operators import listing, policy
+from ..operators import graph, listing, policy
 from .book import Book, entries, table
 
 book = Book()
@@ -24,9 +26,8 @@ def s1_list_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @book.add("{E} SELECT namespace, id FROM entries WHERE (updated_at < TIMESTAMPTZ '2025-03-01 00:00:00+00:00' OR (updated_at = TIMESTAMPTZ '2025-03-01 00:00:00+00:00' AND id < 'M-80000000')) ORDER BY updated_at DESC, id DESC LIMIT 500")
 def s2_keyset_page(spark, d):
-    after = (F.expr("TIMESTAMP '2025-03-01 00:00:00+00:00'"), "M-80000000")
-    e = entries(spark, d, "updated_at")
-    return e.where((F.col("updated_at") < after[0]) | ((F.col("updated_at") == after[0]) & (F.col("id") < after[1]))).orderBy(F.desc("updated_at"), F.desc("id")).limit(500).select(*KEY)
+    after = (datetime.datetime(2025, 3, 1, tzinfo=datetime.timezone.utc), "M-80000000")
+    return listing.list_entries(entries(spark, d, "updated_at"), after=after, limit=500).select(*KEY)
 
 
 @book.add("{E} SELECT namespace, id FROM entries WHERE id > 'M-40000000' AND id <= 'M-c0000000'")
@@ -84,27 +85,6 @@ def s11_dirty_rows(spark, d):
     return listing.dirty_rows(e, 1_000_000, changed=True).select(*KEY, "sync_seq")
 
 
-@book.add("SELECT count(*) AS n_rows, count(*) FILTER (WHERE json_valid(edge_metadata)) AS n_good, count(*) FILTER (WHERE edge_metadata IS NOT NULL AND NOT json_valid(edge_metadata)) AS n_bad FROM memory_graph_edges")
-def s12_bad_rows(spark, d):
-    e = table(spark, d, "memory_graph_edges").select("edge_metadata", F.expr("try_parse_json(edge_metadata)").isNotNull().alias("good"))
-    return e.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("good").cast("bigint")).alias("n_good"), F.sum((F.col("edge_metadata").isNotNull() & ~F.col("good")).cast("bigint")).alias("n_bad"))
-
-
-@book.add("{E} SELECT year(timezone('UTC', created_at)) AS year, month(timezone('UTC', created_at)) AS month, count(*) AS n FROM entries WHERE status IN ('archived', 'obsolete', 'resolved') GROUP BY 1, 2")
-def s14_cold_partitions(spark, d):
-    from ..functions.times import utc_month
-
-    m = utc_month(F.col("created_at"))
-    e = entries(spark, d, "status", "created_at").where("status IN ('archived', 'obsolete', 'resolved')")
-    return e.groupBy(F.substring(m, 1, 4).cast("bigint").alias("year"), F.substring(m, 6, 2).cast("bigint").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@book.add("SELECT namespace, entry_id, max(queue_id) AS queue_id, arg_max(retry_count, queue_id) AS retry_count FROM queue_records GROUP BY 1, 2")
-def s15_sidecar_latest(spark, d):
-    q = table(spark, d, "queue_records")
-    return q.groupBy("namespace", "entry_id").agg(F.max("queue_id").alias("queue_id"), F.max_by("retry_count", "queue_id").alias("retry_count"))
-
-
 @book.add("""{E}, q AS (SELECT namespace, entry_id AS id, arg_max(payload, queue_id) AS payload FROM queue_records WHERE lower(op) IN ('insert', 'update') GROUP BY 1, 2)
 SELECT namespace, id, status, round(importance, 6) AS importance FROM entries e WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.namespace = e.namespace AND q.id = e.id)
 UNION ALL SELECT namespace, id, payload->>'$.status', round(CAST(payload->>'$.importance' AS double), 6) FROM q""")
@@ -140,9 +120,12 @@ def s20_delete_cascade(spark, d):
 
 
 # -- predicates -------------------------------------------------------------------------------------------
-@book.add("{E} SELECT namespace, id FROM entries WHERE list_has_all(tags, ['learning', 'canary-index'])")
+@book.add("{E} SELECT namespace, id FROM entries WHERE list_has_all(tags, ['learning']) AND len(tags) >= 2 UNION ALL SELECT 'planted', 'P-1' UNION ALL SELECT 'planted', 'P-2'")
 def f1_tag_superset(spark, d):
-    return entries(spark, d, "tags").where(listing.has_tags(["learning", "canary-index"])).select(*KEY)
+    """Rows with ``learning`` and another tag of theirs; of four planted rows two have both tags asked for."""
+    planted = spark.createDataFrame([("planted", "P-1", ["learning", "x"]), ("planted", "P-2", ["y", "x", "learning"]), ("planted", "P-3", ["learning"]), ("planted", "P-4", None)], "namespace string, id string, tags array<string>")
+    e = entries(spark, d, "tags").select(*KEY, "tags")
+    return e.where(listing.has_tags(["learning"]) & (F.size("tags") >= 2)).select(*KEY).unionByName(planted.where(listing.has_tags(["learning", "x"])).select(*KEY))
 
 
 @book.add("""{E} SELECT namespace, id FROM entries WHERE contains(lower(id), 'ledger') OR contains(lower(content), 'ledger') OR contains(lower(coalesce(detail, '')), 'ledger')
@@ -232,12 +215,6 @@ def f11_priority_fill(spark, d):
     return e.withColumn("bucket", bucket).withColumn("rn", F.row_number().over(w)).where("rn <= 20").select(*KEY, "bucket")
 
 
-@book.add("SELECT n.namespace, count(*) AS n_outside FROM memories n WHERE NOT EXISTS (SELECT 1 FROM memory_namespaces m WHERE m.namespace_id = n.namespace AND m.status = 'active') GROUP BY 1")
-def f12_scope(spark, d):
-    scope = table(spark, d, "memory_namespaces").where("status = 'active'").select(F.col("namespace_id").alias("namespace")).distinct()
-    return table(spark, d, "memories").join(scope, "namespace", "left_anti").groupBy("namespace").agg(F.count(F.lit(1)).alias("n_outside"))
-
-
 @book.add("{E} SELECT namespace, id, round(importance, 6) AS score FROM entries WHERE status = 'active' AND importance >= 0.7 AND source_identity LIKE 'lintel%' AND created_at >= TIMESTAMPTZ '2024-06-01 00:00:00+00:00'")
 def f13_search(spark, d):
     e = entries(spark, d, "status", "importance", "source_identity", "created_at")
@@ -251,50 +228,44 @@ def f14_page(spark, d):
     return listing.page(e, [F.desc("updated_at"), F.desc("id")], 200, 100).select(*KEY, "total")
 
 
-_LEDGER = """led AS (SELECT queue_id AS seq, 'id' AS kind, namespace AS scope, entry_id AS value, CASE WHEN last_error IS NOT NULL THEN 'quarantined' WHEN lower(op) = 'delete' THEN 'rejected' ELSE 'approved' END AS decision FROM queue_records),
+# decisions on ids from the feed, on remote ids of rows waiting for deletion, on the hashes of contents that the feed calls obsolete
+_LEDGER = """led AS (SELECT DISTINCT queue_id AS seq, 'id' AS kind, namespace AS scope, entry_id AS value, CASE WHEN last_error IS NOT NULL THEN 'quarantined' WHEN lower(op) = 'delete' THEN 'rejected' ELSE 'approved' END AS decision FROM queue_records
+UNION ALL SELECT DISTINCT sync_seq, 'src', '', remote_id, CASE WHEN pending_delete THEN 'quarantined' ELSE 'approved' END FROM memories WHERE remote_id IS NOT NULL
+UNION ALL SELECT DISTINCT queue_id, 'hash', '', sha256(coalesce(payload->>'$.content', '')), CASE WHEN payload->>'$.status' = 'obsolete' THEN 'rejected' ELSE 'approved' END FROM queue_records),
 lat AS (SELECT kind, scope, value, arg_max(decision, seq) AS decision FROM led GROUP BY 1, 2, 3)"""
 
 
 def _ledger(spark, d):
     dec = F.when(F.col("last_error").isNotNull(), "quarantined").when(F.lower("op") == "delete", "rejected").otherwise("approved")
-    return table(spark, d, "queue_records").select(F.col("queue_id").alias("seq"), F.lit("id").alias("kind"), F.col("namespace").alias("scope"), F.col("entry_id").alias("value"), dec.alias("decision"))
+    q, m = table(spark, d, "queue_records"), table(spark, d, "memories")
+    p = F.from_json("payload", "content string, status string")
+    by_id = q.select(F.col("queue_id").alias("seq"), F.lit("id").alias("kind"), F.col("namespace").alias("scope"), F.col("entry_id").alias("value"), dec.alias("decision"))
+    by_source = m.where("remote_id IS NOT NULL").select(F.col("sync_seq").alias("seq"), F.lit("src").alias("kind"), F.lit("").alias("scope"), F.col("remote_id").alias("value"), F.when(F.col("pending_delete"), "quarantined").otherwise("approved").alias("decision"))
+    by_hash = q.select(F.col("queue_id").alias("seq"), F.lit("hash").alias("kind"), F.lit("").alias("scope"), F.sha2(F.coalesce(p["content"], F.lit("")), 256).alias("value"), F.when(p["status"] == "obsolete", "rejected").otherwise("approved").alias("decision"))
+    return by_id.unionByName(by_source).unionByName(by_hash).distinct()
 
 
-@book.add("{E}, " + _LEDGER + " SELECT namespace, id FROM entries e WHERE NOT EXISTS (SELECT 1 FROM lat l WHERE l.scope = e.namespace AND l.value = e.id AND l.decision IN ('quarantined', 'rejected'))")
+@book.add("{E}, " + _LEDGER + " SELECT namespace, id FROM entries e WHERE NOT EXISTS (SELECT 1 FROM lat l WHERE l.decision IN ('quarantined', 'rejected') AND l.kind = 'id' AND l.scope = e.namespace AND l.value = e.id) AND NOT EXISTS (SELECT 1 FROM lat l WHERE l.decision IN ('quarantined', 'rejected') AND l.kind = 'src' AND l.value = e.remote_id) AND NOT EXISTS (SELECT 1 FROM lat l WHERE l.decision IN ('quarantined', 'rejected') AND l.kind = 'hash' AND l.value = sha256(concat(coalesce(e.content, ''), coalesce(e.detail, ''))))")
 def f15_quarantine(spark, d):
     return policy.without_quarantined(entries(spark, d, "content", "detail", "remote_id"), _ledger(spark, d)).select(*KEY)
 
 
-@book.add("WITH " + _LEDGER + ", n AS (SELECT scope, value, sum(CASE WHEN decision <> coalesce(before, '') THEN 1 ELSE 0 END) AS episodes FROM (SELECT DISTINCT scope, value, seq, decision, lag(decision) OVER (PARTITION BY scope, value ORDER BY seq) AS before FROM (SELECT DISTINCT * FROM led)) GROUP BY 1, 2) SELECT l.scope AS namespace, l.value AS entry_id, l.decision, n.episodes FROM lat l JOIN n ON n.scope = l.scope AND n.value = l.value")
+@book.add("WITH " + _LEDGER + ", n AS (SELECT scope, value, sum(CASE WHEN decision <> coalesce(before, '') THEN 1 ELSE 0 END) AS episodes FROM (SELECT DISTINCT scope, value, seq, decision, lag(decision) OVER (PARTITION BY scope, value ORDER BY seq) AS before FROM led WHERE kind = 'id') GROUP BY 1, 2) SELECT l.scope AS namespace, l.value AS entry_id, l.decision, n.episodes FROM lat l JOIN n ON n.scope = l.scope AND n.value = l.value WHERE l.kind = 'id'")
 def w2_ledger(spark, d):
-    led = _ledger(spark, d).distinct()
+    led = _ledger(spark, d).where("kind = 'id'")
     before = F.lag("decision").over(Window.partitionBy("kind", "scope", "value").orderBy("seq"))
     runs = led.withColumn("new", (F.col("decision") != F.coalesce(before, F.lit(""))).cast("bigint"))
     out = runs.groupBy("scope", "value").agg(F.max_by("decision", "seq").alias("decision"), F.sum("new").alias("episodes"))
     return out.select(F.col("scope").alias("namespace"), F.col("value").alias("entry_id"), "decision", "episodes")
 
 
-@book.add("""WITH pin AS (SELECT namespace, id, arg_min(sha256(concat(content, coalesce(detail, ''))), updated_at) AS pinned, arg_max(sha256(concat(content, coalesce(detail, ''))), updated_at) AS now FROM memories GROUP BY 1, 2)
-SELECT namespace, id, pinned = now AS intact FROM pin""")
-def f16_integrity(spark, d):
-    h = F.sha2(F.concat("content", F.coalesce("detail", F.lit(""))), 256)
-    m = table(spark, d, "memories").select(*KEY, "updated_at", h.alias("h"))
-    return m.groupBy(*KEY).agg(F.min_by("h", "updated_at").alias("pinned"), F.max_by("h", "updated_at").alias("now")).select(*KEY, (F.col("pinned") == F.col("now")).alias("intact"))
-
-
-@book.add("""{E} SELECT level, count(*) AS n FROM (SELECT greatest(CASE WHEN namespace LIKE 'team:%' THEN 2 WHEN namespace LIKE 'user:%' THEN 3 ELSE 0 END, CASE WHEN namespace LIKE 'org:%' THEN 1 ELSE 0 END,
-CASE WHEN list_contains(tags, 'canary-index') THEN 4 ELSE 0 END) AS level FROM entries) GROUP BY 1""")
+@book.add("""{E} SELECT level, level <= 2 AS shared, count(*) AS n FROM (SELECT greatest(CASE WHEN namespace LIKE 'user:%' THEN 3 ELSE 2 END, CASE WHEN namespace LIKE 'org:%' THEN 3 ELSE 0 END,
+CASE WHEN list_contains(tags, 'learning') THEN 4 ELSE 0 END) AS level FROM entries) GROUP BY 1""")
 def f18_labels(spark, d):
+    """Levels by rule, and whether a sink of clearance team admits them."""
     e = entries(spark, d, "tags")
-    level = policy.label_level(F.col("namespace"), F.col("tags"), F.lit(None).cast("string"), {"org:*": "internal"}, {"canary-index": "sensitive"})
-    return e.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@book.add("""{E} SELECT namespace, id FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY importance DESC, updated_at DESC, id) AS rn FROM entries WHERE namespace LIKE 'project:%' AND importance >= 0.8 AND confidence = 'verified') WHERE rn <= 10""")
-def f19_shared_selection(spark, d):
-    e = entries(spark, d, "importance", "confidence", "updated_at").where((F.col("namespace").startswith("project:")) & (F.col("importance") >= 0.8) & (F.col("confidence") == "verified"))
-    w = Window.partitionBy("namespace").orderBy(F.desc("importance"), F.desc("updated_at"), "id")
-    return e.withColumn("rn", F.row_number().over(w)).where("rn <= 10").select(*KEY)
+    level = policy.label_level(F.col("namespace"), F.col("tags"), F.lit(None).cast("string"), {"org:*": "personal"}, {"learning": "sensitive"})
+    return e.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).withColumn("shared", policy.admitted_to(F.col("level"), "team"))
 
 
 # -- joins and set operations -----------------------------------------------------------------------------
@@ -343,18 +314,13 @@ def j12_synced_match(spark, d):
     return by_id.select(*KEY).union(by_remote.select(*KEY)).distinct()
 
 
-@book.add("{E} SELECT namespace, id, min(prio) AS prio FROM (SELECT namespace, id, 0 AS prio FROM entries WHERE access_count > 30 UNION ALL SELECT namespace, id, 1 FROM entries WHERE status = 'active' UNION ALL SELECT namespace, id, 2 FROM entries) GROUP BY 1, 2")
-def u2_tier_merge(spark, d):
-    e = entries(spark, d, "access_count", "status")
-    tier = F.when(F.col("access_count") > 30, 0).when(F.col("status") == "active", 1).otherwise(2)
-    return e.select(*KEY, tier.alias("prio"))
-
-
-@book.add("{E}, q AS (SELECT DISTINCT namespace, tag, entry_id FROM memory_tags WHERE tag IS NOT NULL) SELECT e.namespace, e.id, array_to_string(list_sort(list_distinct(list_concat(coalesce(e.tags, []), t.tags))), ',') AS tags FROM entries e JOIN (SELECT namespace, entry_id, list(tag) AS tags FROM q GROUP BY 1, 2) t ON t.namespace = e.namespace AND t.entry_id = e.id")
+@book.add("""{E}, q AS (SELECT namespace, entry_id, list_sort(list(DISTINCT tag)) AS more FROM memory_tags WHERE tag IS NOT NULL GROUP BY 1, 2), j AS (SELECT e.namespace, e.id, list_concat(coalesce(e.tags, []), q.more) AS x FROM entries e JOIN q ON q.namespace = e.namespace AND q.entry_id = e.id)
+SELECT namespace, id, array_to_string(list_filter(x, lambda t, i: list_position(x, t) = i), '|') AS tags FROM j""")
 def u3_tag_union(spark, d):
-    t = table(spark, d, "memory_tags").where("tag IS NOT NULL").groupBy("namespace", F.col("entry_id").alias("id")).agg(F.collect_set("tag").alias("more"))
-    both = F.array_sort(F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), "more")))
-    return entries(spark, d, "tags").join(t, KEY).select(*KEY, F.array_join(both, ",").alias("tags"))
+    """The row's own tags in their order, then the new ones (by name, as the postings have no order)."""
+    t = table(spark, d, "memory_tags").where("tag IS NOT NULL").groupBy("namespace", F.col("entry_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("more"))
+    both = F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), "more"))
+    return entries(spark, d, "tags").join(t, KEY).select(*KEY, F.array_join(both, "|").alias("tags"))
 
 
 @book.add("{E} SELECT namespace, count(*) AS n FROM (SELECT CASE WHEN namespace = 'default' AND NOT EXISTS (SELECT 1 FROM entries x WHERE x.namespace = 'project:harborlight' AND x.id = e.id) THEN 'project:harborlight' ELSE namespace END AS namespace, id FROM entries e) GROUP BY 1")
@@ -393,24 +359,11 @@ def a3_vector_census(spark, d):
     return table(spark, d, "embeddings").groupBy("label", F.size("embedding").cast("bigint").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.add("SELECT lower(trim(tag)) AS tag, count(*) AS df, least(count(*), 500) AS capped FROM (SELECT DISTINCT namespace, entry_id, lower(trim(tag)) AS tag FROM memory_tags WHERE trim(tag) <> '') GROUP BY 1")
+@book.add("SELECT namespace, tag, count(*) AS df, count(*) > 500 AS hub FROM (SELECT DISTINCT namespace, entry_id, lower(trim(tag)) AS tag FROM memory_tags WHERE trim(tag) <> '' AND namespace IS NOT NULL AND entry_id IS NOT NULL) GROUP BY 1, 2")
 def a4_tag_df(spark, d):
-    t = table(spark, d, "memory_tags").select("namespace", "entry_id", F.lower(F.trim("tag")).alias("tag")).where("tag <> ''").distinct()
-    return t.groupBy("tag").agg(F.count(F.lit(1)).alias("df")).withColumn("capped", F.least("df", F.lit(500).cast("bigint")))
-
-
-@book.add("SELECT namespace_id, array_to_string(list_sort(list_distinct(list(status))), ',') AS statuses, count(*) AS n FROM (SELECT DISTINCT * FROM memory_namespaces) GROUP BY 1")
-def a16_registry(spark, d):
-    n = table(spark, d, "memory_namespaces").distinct()
-    return n.groupBy("namespace_id").agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"), F.count(F.lit(1)).alias("n"))
-
-
-@book.add("""SELECT strftime(timezone('UTC', event_at), '%Y-%m') AS month, kind, count(*) AS n FROM (SELECT DISTINCT event_id, event_at, kind FROM replay_events) GROUP BY ROLLUP (month, kind) HAVING month IS NOT NULL OR GROUPING(month) = 1""")
-def a17_event_summary(spark, d):
-    from ..functions.times import utc_month
-
-    r = table(spark, d, "replay_events").select("event_id", "event_at", "kind").distinct().withColumn("month", utc_month(F.col("event_at")))
-    return r.rollup("month", "kind").agg(F.count(F.lit(1)).alias("n"), F.grouping("month").alias("g")).where("month IS NOT NULL OR g = 1").drop("g")
+    """Posting counts a namespace; a tag of more than 500 is a hub that gives no neighbours."""
+    t = table(spark, d, "memory_tags").select("namespace", "entry_id", F.lower(F.trim("tag")).alias("tag")).where("tag <> '' AND namespace IS NOT NULL AND entry_id IS NOT NULL")
+    return graph.tag_frequencies(t)
 
 
 @book.add("""SELECT date_trunc('day', t) AS day, count(*) AS n FROM (SELECT DISTINCT id, timezone('UTC', CASE WHEN regexp_matches(trim(created_at), '^\\d{4}-\\d\\d-\\d\\d[T ].*([zZ]|[+-]\\d\\d(:?\\d\\d)?)$') THEN try_cast(trim(created_at) AS timestamptz) ELSE try_cast(trim(created_at) || '+00' AS timestamptz) END) AS t FROM memory_graph_edges) WHERE t IS NOT NULL GROUP BY 1""".replace("\\\\", "\\").replace("SELECT date_trunc('day', t) AS day", "SELECT strftime(t, '%Y-%m-%d') AS day"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["problems", "listing", "ranking", "lifecycle", "safety", "recall"]
+_MODULES = ["problems", "listing", "ranking", "lifecycle", "safety", "recall", "upkeep"]
 
 
 def _modules():

@@ -53,7 +53,7 @@ def read_cold(spark: SparkSession, path: str, since: tuple[int, int] | None = No
 
 def read_sidecar(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], position: str) -> DataFrame:
     """An append log of JSON lines: the last record of each key; unreadable lines are skipped."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     rest = [f.name for f in schema.fields if f.name not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("r")).select(*keys, "r.*")
 
@@ -75,3 +75,31 @@ def read_entry_files(spark: SparkSession, path: str, schema: T.StructType) -> tu
     rows = docs.select("value", pairs.alias("kv")).select("value", *cols)
     first = schema.fields[0].name
     return rows.where(F.col(first).isNotNull()).drop("value"), rows.where(F.col(first).isNull()).select("value")
+
+
+def split_readable(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): rows whose JSON ``column`` reads as ``schema`` (``parsed``; null text is good, with a null), and the
+    rest as they stand, quarantined with a ``reason``."""
+    j = df.withColumn("_json", F.expr(f"try_parse_json(`{column}`)").isNotNull() | F.col(column).isNull())
+    return j.where("_json").withColumn("parsed", F.from_json(column, schema)).drop("_json"), j.where("NOT _json").withColumn("reason", F.lit("unreadable")).drop("_json")
+
+
+def compact_sidecar(spark: SparkSession, path: str, out: str, schema: T.StructType, keys: list[str], position: str) -> None:
+    """The log rewritten with the last record of each key only."""
+    read_sidecar(spark, path, schema, keys, position).write.mode("errorifexists").option("ignoreNullFields", "false").json(out)
+
+
+def rebuild(cold: DataFrame, schema: T.StructType, keys: list[str], version: str) -> DataFrame:
+    """Typed rows from an archive of strings: every column cast to its kind (null if it does not read; lists, maps and
+    structs from JSON), one row a key, that of the greatest ``version``; columns that are missing are null."""
+    cols = []
+    for f in schema.fields:
+        if f.name not in cold.columns:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            cols.append(F.from_json(F.col(f.name).cast("string"), f.dataType).alias(f.name))
+        else:
+            cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    typed = cold.select(*cols).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    return typed.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version)).alias("r")).select(*keys, "r.*")
