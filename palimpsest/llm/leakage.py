@@ -29,9 +29,20 @@ PART_WORDS = 250_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+class _Separators(dict):
+    """Translation of every character that is no letter or digit to a blank, filled as characters turn up."""
+
+    def __missing__(self, char: int) -> int:
+        self[char] = to = char if chr(char).isalnum() else 32
+        return to
+
+
+_BLANKED = _Separators()
+
+
 def words_of(text: str) -> list[str]:
     """The longest runs of letters and digits of the lower-cased text."""
-    return _WORD.findall(text.lower())
+    return text.lower().translate(_BLANKED).split()
 
 
 class SuffixAutomaton:
@@ -241,15 +252,11 @@ def without_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WOR
     """
     spark = documents.sparkSession
     automata = item_parts(items, least, part_words=part_words)
+    final = pa.schema([("doc_id", pa.int64()), ("clean_text", pa.string()), ("n_words", pa.int32()), ("n_leaked", pa.int32()), ("dropped", pa.bool_())])
 
-    def places(value: str) -> tuple[list[str], list[tuple[int, int]]]:
-        # lower-casing can change the number of characters, so words are located in the text as it stands
-        words, at = [], []
-        for m in _WORD.finditer(value):
-            for x in _WORD.findall(m.group().lower()):
-                words.append(x)
-                at.append((m.start(), m.end()))
-        return words, at
+    def places(value: str) -> list[tuple[int, int]]:
+        # lower-casing can change the number of characters and of words, so words are located in the text as it stands
+        return [(m.start(), m.end()) for m in _WORD.finditer(value) for _ in _WORD.findall(m.group().lower())]
 
     def united(spans: list[list[int]]) -> list[list[int]]:
         cut: list[list[int]] = []
@@ -260,47 +267,42 @@ def without_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST_WOR
                 cut.append([a, b])
         return cut
 
-    def marked(df: DataFrame, shared: _Shared) -> DataFrame:
+    def cleaned(value: str, n_words: int, cut: list[list[int]]) -> tuple[str | None, int, int, bool]:
+        leaked = sum(b - a for a, b in cut)
+        if not cut:
+            return value, n_words, 0, False
+        if leaked > most_share * n_words:
+            return None, n_words, leaked, True
+        out, pos, at = [], 0, places(value)
+        for a, b in cut:
+            out.append(value[pos : at[a][0]])
+            pos = at[b - 1][1]
+        return "".join([*out, value[pos:]]), n_words, leaked, False
+
+    def scan(df: DataFrame, shared: _Shared | None, last: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sam = shared.value
+            sam = shared.value if shared else None
             for b in batches:
-                spans = []
+                rows = []
                 for value, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    flat = [[end - matched, end] for end, matched, _ in sam.runs(places(value)[0], least)] if value is not None else []
-                    own = united([*map(list, zip(known[::2], known[1::2])), *flat])
-                    spans.append([x for s in own for x in s])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "text", "spans"])
-
-        return df.mapInArrow(run, "doc_id bigint, text string, spans array<int>")
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("clean_text", pa.string()), ("n_words", pa.int32()), ("n_leaked", pa.int32()), ("dropped", pa.bool_())])
-
-        def cleaned(value: str, flat: list[int]) -> tuple[str | None, int, int, bool]:
-            words, at = places(value)
-            cut = list(zip(flat[::2], flat[1::2]))
-            leaked = sum(b - a for a, b in cut)
-            if words and leaked > most_share * len(words):
-                return None, len(words), leaked, True
-            out, pos = [], 0
-            for a, b in cut:
-                out.append(value[pos : at[a][0]])
-                pos = at[b - 1][1]
-            return "".join([*out, value[pos:]]), len(words), leaked, False
+                    words = words_of(value) if value is not None else []
+                    found = [[end - matched, end] for end, matched, _ in sam.runs(words, least)] if sam else []
+                    cut = united([*map(list, zip(known[::2], known[1::2])), *found]) if found or known else []
+                    rows.append((None, 0, 0, False) if value is None else cleaned(value, len(words), cut)) if last else rows.append([x for s in cut for x in s])
+                if last:
+                    yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], final.field(i + 1).type) for i in range(4)]], schema=final)
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "text", "spans"])
 
-        for b in batches:
-            got = [(None, 0, 0, False) if v is None else cleaned(v, s) for v, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([g[i] for g in got], schema.field(i + 1).type) for i in range(4)]], schema=schema)
+        return df.mapInArrow(run, "doc_id bigint, clean_text string, n_words int, n_leaked int, dropped boolean" if last else "doc_id bigint, text string, spans array<int>")
 
     df = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.array().cast("array<int>").alias("spans"))
     parts = _parts(automata)
-    for part in parts:
+    for part in parts[:-1]:
         shared = _Shared(spark, automata, part)
-        df = marked(df, shared)
-        if part != parts[-1]:
-            df = written(df, "marked")
-            shared.of.destroy()
-    return df.mapInArrow(cut_out, "doc_id bigint, clean_text string, n_words int, n_leaked int, dropped boolean")
+        df = written(scan(df, shared, False), "marked")
+        shared.of.destroy()
+    return scan(df, _Shared(spark, automata, parts[-1]) if parts else None, True)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, part_words: int = PART_WORDS) -> DataFrame:

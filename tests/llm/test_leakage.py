@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,12 @@ def test_empty_tables(spark):
     assert [r["clean_text"] for r in leakage.without_leaks(some, e).collect()] == ["some text"] and leakage.leaked_items(some, e).collect() == []
 
 
+def test_words_are_runs_of_letters_and_digits():
+    rnd = random.Random(3)
+    for text in ["", "  ", "A_b-c 12x", "ÉCOLE\u00a0Straße İstanbul", "x\u200by\u0301z ½²③ 漢字か", "ΑΣ'Α ΟΔΟΣ"] + ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(160, 0x2FFF)])) for _ in range(80)) for _ in range(200)]:
+        assert leakage.words_of(text) == re.findall(r"[^\W_]+", text.lower())
+
+
 def test_items_in_parts(spark):
     """Parts of a hundred words give what one part gives, long items included."""
     rnd = random.Random(4)
