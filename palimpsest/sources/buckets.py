@@ -111,8 +111,10 @@ class BucketedTable:
         spark = df.sparkSession
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         n = parts * max(1, -(-rows // (parts * rows_per_bucket)))
-        data = f"{root}/data/v0"
-        df.withColumn("bucket", bucket_of(keys, n)).sortWithinPartitions("bucket", *keys).write.partitionBy("bucket").parquet(data)
+        data, folders = f"{root}/data/v0", "_bucket"
+        while folders in df.columns:
+            folders += "_"
+        df.withColumn(folders, bucket_of(keys, n)).sortWithinPartitions(folders, *keys).write.partitionBy(folders).parquet(data)
 
         def list_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyarrow import fs
@@ -120,7 +122,7 @@ class BucketedTable:
             for part in (x for b in batches for x in b.column(0).to_pylist()):
                 files: dict[str, list[str]] = {}
                 for bucket in range(part * SPAN, min(n, (part + 1) * SPAN)):
-                    folder = f"{data}/bucket={bucket}"
+                    folder = f"{data}/{folders}={bucket}"
                     at, rest = _arrow_fs(folder)
                     found = at.get_file_info(fs.FileSelector(rest, allow_not_found=True))
                     names = sorted(f"{folder}/{x.base_name}" for x in found if x.base_name.endswith(".parquet"))

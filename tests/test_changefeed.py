@@ -13,12 +13,12 @@ from palimpsest.sources.buckets import BucketedTable
 from palimpsest.sources.scratch import new_path
 
 UTC = dt.timezone.utc
-MEM = "namespace string, id string, content string, detail string, importance double, status string, updated_at timestamp, vector_clock map<string,bigint>, pending_delete boolean, sync_seq bigint, sync_hash string, tags array<string>, queue_id string"
+MEM = "namespace string, id string, content string, detail string, importance double, status string, updated_at timestamp, vector_clock map<string,bigint>, pending_delete boolean, sync_seq bigint, sync_hash string, tags array<string>, queue_id string, bucket int, _bucket string"
 QUEUE = "queue_id bigint, namespace string, entry_id string, op string, payload string, queued_at string, retry_count int, last_error string, revision struct<sync_seq: bigint, sync_hash: string>, id string"
 
 
 def memory(id_, seq, clock, gone=False, ns="n", at=1, hash_="h"):
-    return (ns, id_, f"base {id_}", None, 0.5, "active", dt.datetime(2024, 1, at, tzinfo=UTC), clock, gone, seq, hash_, ["t"], "clash")
+    return (ns, id_, f"base {id_}", None, 0.5, "active", dt.datetime(2024, 1, at, tzinfo=UTC), clock, gone, seq, hash_, ["t"], "clash", 7, "clash")
 
 
 def record(q, id_, op, clock, rev=None, ns="n", gone=None):
@@ -154,7 +154,7 @@ def test_untouched_buckets_keep_their_files_and_versions_stay(spark):
     again = apply_feed(after, spark.createDataFrame([record(1, "e7", "update", {"x": 1}, (2, "z"))], QUEUE))
     assert {k: v[0] for k, v in state(again).items()} == {k: v[0] for k, v in state(after).items()}
     row = after.read().where("id = 'e7'").first()
-    assert row["tags"] == ["t"] and row["vector_clock"] == {"x": 1} and row["importance"] == 0.9 and row["updated_at"] == dt.datetime(2024, 3, 1)
+    assert row["bucket"] == 7 and row["_bucket"] == "clash" and row["tags"] == ["t"] and row["vector_clock"] == {"x": 1} and row["importance"] == 0.9 and row["updated_at"] == dt.datetime(2024, 3, 1)
 
 
 def test_only_touched_buckets_are_read(spark):
