@@ -116,28 +116,35 @@ class SuffixAutomaton:
         return self
 
     def runs(self, words: list[str], least: int) -> Iterator[tuple[int, int, int]]:
-        """(end, matched, state) wherever the longest match that ends there has at least ``least`` words."""
+        """(end, matched, state) wherever the longest match that ends there has at least ``least`` words.
+
+        A word of no item ends every match, so only stretches of ``least`` or more known words are walked.
+        """
         link, length, word, to, ways, none = self.link, self.length, self.only_word, self.only_to, self.ways, {}
-        state = matched = 0
-        for end, w in enumerate(map(self.ids.get, words), 1):
-            if w is None:
-                state = matched = 0
+        codes = list(map(self.ids.get, words))
+        first = 0
+        for stop in [*(i for i, w in enumerate(codes) if w is None), len(codes)]:
+            start, first = first, stop + 1
+            if stop - start < least:
                 continue
-            if word[state] == w:
-                state, matched = to[state], matched + 1
-            elif (far := ways.get(state, none).get(w)) is not None:
-                state, matched = far, matched + 1
-            else:
-                state = link[state]
-                while state >= 0 and word[state] != w and w not in ways.get(state, none):
+            state = matched = 0
+            for end in range(start, stop):
+                w = codes[end]
+                if word[state] == w:
+                    state, matched = to[state], matched + 1
+                elif (far := ways.get(state, none).get(w)) is not None:
+                    state, matched = far, matched + 1
+                else:
                     state = link[state]
-                if state < 0:
-                    state = matched = 0
-                    continue
-                matched = length[state] + 1
-                state = to[state] if word[state] == w else ways[state][w]
-            if matched >= least:
-                yield end, matched, state
+                    while state >= 0 and word[state] != w and w not in ways.get(state, none):
+                        state = link[state]
+                    if state < 0:
+                        state = matched = 0
+                        continue
+                    matched = length[state] + 1
+                    state = to[state] if word[state] == w else ways[state][w]
+                if matched >= least:
+                    yield end + 1, matched, state
 
 
 def item_parts(items: DataFrame, least: int = LEAST_WORDS, item: str = "item_id", text: str = "text", part_words: int = PART_WORDS) -> DataFrame:
