@@ -75,9 +75,9 @@ def confident(floor: float, stated: Column, importance: Column) -> Column:
 
 
 def latest_decisions(ledger: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
-    """The newest row of every identity key; a max that combines map-side."""
+    """The newest row of every identity key, of equal ``seq`` the stricter decision; a max that combines map-side."""
     rest = [c for c in ledger.columns if c not in keys]
-    return ledger.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_l")).select(*keys, "_l.*")
+    return ledger.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(seq, "decision")).alias("_l")).select(*keys, "_l.*")
 
 
 def identity_keys(df: DataFrame) -> DataFrame:

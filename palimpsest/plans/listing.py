@@ -232,7 +232,7 @@ def f14_page(spark, d):
 _LEDGER = """led AS (SELECT DISTINCT queue_id AS seq, 'id' AS kind, namespace AS scope, entry_id AS value, CASE WHEN last_error IS NOT NULL THEN 'quarantined' WHEN lower(op) = 'delete' THEN 'rejected' ELSE 'approved' END AS decision FROM queue_records
 UNION ALL SELECT DISTINCT sync_seq, 'src', '', remote_id, CASE WHEN pending_delete THEN 'quarantined' ELSE 'approved' END FROM memories WHERE remote_id IS NOT NULL
 UNION ALL SELECT DISTINCT queue_id, 'hash', '', sha256(coalesce(payload->>'$.content', '')), CASE WHEN payload->>'$.status' = 'obsolete' THEN 'rejected' ELSE 'approved' END FROM queue_records),
-lat AS (SELECT kind, scope, value, arg_max(decision, seq) AS decision FROM led GROUP BY 1, 2, 3)"""
+lat AS (SELECT kind, scope, value, arg_max(decision, (seq, decision)) AS decision FROM led GROUP BY 1, 2, 3)"""
 
 
 def _ledger(spark, d):
@@ -250,12 +250,12 @@ def f15_quarantine(spark, d):
     return policy.without_quarantined(entries(spark, d, "content", "detail", "remote_id"), _ledger(spark, d)).select(*KEY)
 
 
-@book.add("WITH " + _LEDGER + ", n AS (SELECT scope, value, sum(CASE WHEN decision <> coalesce(before, '') THEN 1 ELSE 0 END) AS episodes FROM (SELECT DISTINCT scope, value, seq, decision, lag(decision) OVER (PARTITION BY scope, value ORDER BY seq) AS before FROM led WHERE kind = 'id') GROUP BY 1, 2) SELECT l.scope AS namespace, l.value AS entry_id, l.decision, n.episodes FROM lat l JOIN n ON n.scope = l.scope AND n.value = l.value WHERE l.kind = 'id'")
+@book.add("WITH " + _LEDGER + ", n AS (SELECT scope, value, sum(CASE WHEN decision <> coalesce(before, '') THEN 1 ELSE 0 END) AS episodes FROM (SELECT DISTINCT scope, value, seq, decision, lag(decision) OVER (PARTITION BY scope, value ORDER BY seq, decision) AS before FROM led WHERE kind = 'id') GROUP BY 1, 2) SELECT l.scope AS namespace, l.value AS entry_id, l.decision, n.episodes FROM lat l JOIN n ON n.scope = l.scope AND n.value = l.value WHERE l.kind = 'id'")
 def w2_ledger(spark, d):
     led = _ledger(spark, d).where("kind = 'id'")
-    before = F.lag("decision").over(Window.partitionBy("kind", "scope", "value").orderBy("seq"))
+    before = F.lag("decision").over(Window.partitionBy("kind", "scope", "value").orderBy("seq", "decision"))
     runs = led.withColumn("new", (F.col("decision") != F.coalesce(before, F.lit(""))).cast("bigint"))
-    out = runs.groupBy("scope", "value").agg(F.max_by("decision", "seq").alias("decision"), F.sum("new").alias("episodes"))
+    out = runs.groupBy("scope", "value").agg(F.max_by("decision", F.struct("seq", "decision")).alias("decision"), F.sum("new").alias("episodes"))
     return out.select(F.col("scope").alias("namespace"), F.col("value").alias("entry_id"), "decision", "episodes")
 
 
