@@ -255,8 +255,9 @@ _COLD = ("status", "content", "created_at", "importance")
 def s14_cold_partitions(spark, d):
     """Written by month, then two months read back."""
     at = new_path(spark, "cold")
-    formats.write_cold(entries(spark, d, *_COLD).where("status <> 'active'"), at)
-    return formats.read_cold(spark, at, (2024, 5), (2024, 6)).select(*KEY, F.col("year").cast("bigint").alias("year"), F.col("month").cast("bigint").alias("month"))
+    cold = entries(spark, d, *_COLD).where("status <> 'active'")
+    formats.write_cold(cold, at)
+    return formats.read_cold(spark, at, (2024, 5), (2024, 6), cold.schema).select(*KEY, F.col("year").cast("bigint").alias("year"), F.col("month").cast("bigint").alias("month"))
 
 
 @book.add("SELECT namespace, entry_id, max(queue_id) AS queue_id, arg_max(retry_count, queue_id) AS retry_count FROM queue_records WHERE namespace IS NOT NULL AND entry_id IS NOT NULL GROUP BY 1, 2")

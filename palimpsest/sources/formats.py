@@ -42,9 +42,11 @@ def write_cold(df: DataFrame, path: str) -> None:
     out.repartition("year", "month").write.mode("append").partitionBy("year", "month").parquet(path)
 
 
-def read_cold(spark: SparkSession, path: str, since: tuple[int, int] | None = None, until: tuple[int, int] | None = None) -> DataFrame:
-    """The archive, pruned to months since .. until (inclusive)."""
-    df = spark.read.parquet(path)
+def read_cold(spark: SparkSession, path: str, since: tuple[int, int] | None = None, until: tuple[int, int] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """The archive, pruned to months since .. until (inclusive).  An archive without any row needs its ``schema`` (without
+    year and month)."""
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())]))
+    df = reader.parquet(path)
     m = F.col("year") * 12 + F.col("month")
     if since:
         df = df.where(m >= since[0] * 12 + since[1])

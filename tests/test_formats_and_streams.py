@@ -27,6 +27,8 @@ def test_cold_archive_is_pruned(spark, tmp_path):
     df = spark.createDataFrame([("a", "2024-01-31 23:59:59"), ("b", "2024-02-01 00:00:00"), ("c", "2025-01-01 00:00:00")], "id string, t string").select("id", F.col("t").cast("timestamp").alias("created_at"))
     formats.write_cold(df, str(tmp_path / "cold"))
     assert {r["id"] for r in formats.read_cold(spark, str(tmp_path / "cold"), (2024, 2), (2024, 12)).collect()} == {"b"}
+    formats.write_cold(df.limit(0), str(tmp_path / "none"))
+    assert formats.read_cold(spark, str(tmp_path / "none"), (2024, 2), None, df.schema).collect() == []
 
 
 def test_sidecar_and_entry_files(spark, tmp_path):
